@@ -325,12 +325,12 @@ def spans_sql(n: int = N, least: int = LEAST) -> str:
     w = WORD_RE2
     apart = "[^" + w[1:-2] + "]*"
     return rf"""
-WITH b AS (SELECT list_transform(regexp_extract_all(text, '{w}'), x -> lower(x)) AS ws FROM benchmark WHERE text IS NOT NULL),
+WITH b AS (SELECT [lower(x) for x in regexp_extract_all(text, '{w}')] AS ws FROM benchmark WHERE text IS NOT NULL),
 ph AS (
   SELECT DISTINCT ws[i:i+{n}-1] AS p, {n} AS m FROM b, unnest(range(1, len(ws) - {n} + 2)) AS u(i) WHERE len(ws) >= {n}
   UNION SELECT ws, len(ws) FROM b WHERE len(ws) BETWEEN {least} AND {n - 1}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, regexp_extract_all(text, '{apart}{w}') AS ps FROM documents),
-t AS (SELECT rid, doc_id, list_transform(ps, x -> lower(regexp_extract(x, '{w}'))) AS ws, ps FROM d),
+t AS (SELECT rid, doc_id, [lower(regexp_extract(x, '{w}')) for x in ps] AS ws, ps FROM d),
 g AS (SELECT rid, doc_id, i, m, ws[i:i+m-1] AS p FROM t, (SELECT DISTINCT m FROM ph) AS q, unnest(range(1, len(ws) - m + 2)) AS u(i) WHERE len(ws) >= m),
 h AS (SELECT g.rid, g.doc_id, i AS a, i + g.m AS z FROM g JOIN ph USING (p)),
 o AS (SELECT *, max(z) OVER (PARTITION BY rid ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),

@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import fresh_path, row_key
 
@@ -75,7 +76,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int =
     batch = reduce(lambda c, cut: c + F.coalesce((F.col("_id") > F.lit(cut)).cast("int"), F.lit(0)), cuts, F.lit(0))
     path = fresh_path(docs.sparkSession, "lines")
     lines.withColumn("_batch", batch).write.partitionBy("_batch").parquet(path)
-    lines = docs.sparkSession.read.schema(lines.schema.add("_batch", "int")).parquet(path)
+    lines = docs.sparkSession.read.schema(T.StructType([*lines.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(path)
     runs, found = Runs(fanout), []
     for b in range(len(cuts) + 1):
         rank = F.dense_rank().over(Window.partitionBy(*_H).orderBy("_id", "_tx", "_n"))

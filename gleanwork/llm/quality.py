@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import Lookup, flat, mix, pieces, span_hashes, spans
 
@@ -194,7 +195,7 @@ def sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def _scored(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
     """The given columns and _q_p."""
     names = list(dict.fromkeys([*columns, "text"]))
-    schema = docs.select(*columns).schema.add("_q_p", "double")
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("_q_p", T.DoubleType())])
 
     def run(batches):
         for b in batches:
