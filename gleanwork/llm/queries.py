@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, mixing, quality, simhash, tokens
+from . import decontaminate, langid, linededup, mixing, quality, simhash, tokens, topk
 from .runtime import table
 
 
+def op1_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,6 @@ def op10_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_mixing, op7_quality, op8_line_dedup, op9_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_language_id, op4_mixing, op7_quality, op8_line_dedup, op9_simhash_dedup, op10_token_counts)}
 
-ORACLES = {"op2_decontaminate": decontaminate.spans_sql(), "op4_mixing": mixing.schedule_sql(), "op8_line_dedup": linededup.dedup_sql()}
+ORACLES = {"op1_topk": topk.topk_sql(), "op2_decontaminate": decontaminate.spans_sql(), "op4_mixing": mixing.schedule_sql(), "op8_line_dedup": linededup.dedup_sql()}
