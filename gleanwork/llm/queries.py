@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, mixing, quality, simhash, tokens, topk, warc
+from . import decontaminate, langid, linededup, mixing, quality, secrets, simhash, tokens, topk, warc
 from .runtime import table
 
 
@@ -26,6 +26,10 @@ def op5_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,6 @@ def op10_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_language_id, op4_mixing, op5_warc, op7_quality, op8_line_dedup, op9_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_language_id, op4_mixing, op5_warc, op6_secrets, op7_quality, op8_line_dedup, op9_simhash_dedup, op10_token_counts)}
 
 ORACLES = {"op1_topk": topk.topk_sql(), "op2_decontaminate": decontaminate.spans_sql(), "op4_mixing": mixing.schedule_sql(), "op5_warc": warc.WARC_SQL, "op8_line_dedup": linededup.dedup_sql()}
