@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import isolated, materialize
 from .text import WORD, Lookup, word_hashes
 
 #: Production parameters.
@@ -245,6 +245,7 @@ def _cut(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+@isolated
 def removal_spans(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LEAST, shard_words: int = SHARD_WORDS, rate: int = RATE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, span_begin, span_end (characters, end excluded) and n_words of each removal span."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -295,6 +296,7 @@ def removal_spans(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LE
     return some.select("doc_id", "text").mapInArrow(merged, f"doc_id {kind}, span_begin bigint, span_end bigint, n_words bigint")
 
 
+@isolated
 def scrub(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LEAST, shard_words: int = SHARD_WORDS, rate: int = RATE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents without their removal spans; those of which only blanks are left go."""
     out = docs

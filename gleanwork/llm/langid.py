@@ -5,7 +5,7 @@ set. ANDing an n-gram's few slots gives at once the set of all languages whose f
 language is the number of its n-grams (byte n-grams of the lower-cased text, with repetition) in that language's filter, less
 the false positives expected from the filter's fill: (hits - n f) / (1 - f). The highest score decides.
 
-The filters are fitted on a bounded, hash-ordered sample of labelled rows (`train_rows` per language); prediction reads every
+The filters are fitted on a bounded, hash-ordered sample of labelled rows (`train_rows` per language, repeated rows once); prediction reads every
 document whole. Up to 64 languages.
 
 Defined results: null or empty text, and text with no known n-gram, gives language 'und' and confidence 0; ties go to the
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import isolated
 from .text import flat, pieces
 
 #: Production parameters.
@@ -119,17 +120,19 @@ def predict(filters: Filters, column: pa.Array) -> tuple[list[str], np.ndarray,
 
 
 def sample(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, list[str]]:
-    """Texts of at most train_rows labelled rows per language: the first in the order of a hash of the id."""
-    narrow = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64(F.lit("langid"), "doc_id").alias("_h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    picked = narrow.withColumn("_r", rank).filter(F.col("_r") <= train_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    """Texts of at most train_rows labelled rows per language: the first in the order of a hash of id and text."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("_h"), "text")
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("_h"))
+    picked = rows.select("lang", "_h").withColumn("_r", rank).filter(F.col("_r") <= train_rows).select(F.col("lang").alias("_lang"), F.col("_h").alias("_ph")).distinct()
     out: dict[str, list[str]] = {}
-    # at most train_rows rows a language are broadcast and collected
-    for r in docs.join(F.broadcast(picked), (docs["doc_id"] == picked["_id"]) & (docs["lang"] == picked["_lang"])).select("lang", "text").collect():
-        out.setdefault(r[0], []).append(r[1])
+    # at most train_rows rows a language are broadcast and collected, repeated rows once
+    found = rows.join(F.broadcast(picked), (rows["lang"] == picked["_lang"]) & (rows["_h"] == picked["_ph"]), "left_semi")
+    for r in sorted(found.dropDuplicates(["lang", "_h"]).collect()):
+        out.setdefault(r[0], []).append(r[2])
     return out
 
 
+@isolated
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     """doc_id, language, confidence and n_grams of every document; fits filters on its labelled rows if none are given."""
     filters = fit(sample(docs)) if filters is None else filters

@@ -10,7 +10,7 @@ Kept is the first occurrence of a line in the order of doc_id (null first), text
 
 Defined results: null and empty texts stay; of repeated rows (same id and text) one keeps its lines and the others lose
 all of at least min_chars; a document that had text and is left with blanks only goes; an empty table gives an empty
-result; other columns pass through, names beginning with `_` and two letters are reserved; `n_chars`, if there, is brought up to date.
+result; other columns pass through, whatever their names; `n_chars`, if there, is brought up to date.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import fresh_path, row_key
+from .runtime import fresh_path, isolated, row_key
 
 #: Production parameters.
 MIN_CHARS, BATCHES, FANOUT = 20, 4, 2
@@ -91,6 +91,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int =
     return reduce(DataFrame.unionByName, found)
 
 
+@isolated
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The documents without their duplicate lines."""
     gone = duplicate_lines(docs, min_chars, batches, fanout).groupBy("_id", "_tx").agg(F.sort_array(F.collect_set("_n")).alias("_gone"))

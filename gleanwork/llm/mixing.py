@@ -10,7 +10,7 @@ is found the same way over slices of virtual time. Everything is integer arithme
 Defined results: text null or blank counts 0 tokens and takes its place in the queue; a null source is a source of its
 own; a source without a weight has weight `other`; weights of 0 or less drop a source; repeated rows are separate
 entries, whose order among themselves makes no difference; an empty table gives an empty result; other columns pass through
-`mix` untouched (names beginning with `_w_` are reserved).
+`mix` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import isolated, materialize
 
 #: Production parameters: relative weights; the budget is a share of the corpus's tokens, in thousandths.
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 2}
@@ -73,6 +73,7 @@ def _schedule(docs: DataFrame, weights: dict, other: int, per_mille: int, seed:
     return placed.filter(F.col("_w_cum") <= total).select("_w_id", "_w_src", "_w_n", "_w_key", "_w_vft", "_w_cum")
 
 
+@isolated
 def schedule(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mille: int = BUDGET_PER_MILLE, seed: str = SEED, budget: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, source, n_tokens, vft (times the weights' least common multiple) and cum_tokens, in the order of the mix."""
     s = _schedule(docs, WEIGHTS if weights is None else weights, other, per_mille, seed, budget, slice_rows)
@@ -80,6 +81,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, other: int = OTHER, p
     return out.orderBy("vft", F.col("source").asc_nulls_first(), "doc_id")
 
 
+@isolated
 def mix(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mille: int = BUDGET_PER_MILLE, seed: str = SEED, budget: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The documents within the budget, all columns, range-sorted into the order of the mix.
 
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mi
     d = docs.withColumns({"_w_tn": n_tokens(F.col("text"))})
     on = d["doc_id"].eqNullSafe(entry["_w_id"]) & d["source"].eqNullSafe(entry["_w_src"]) & (d["_w_tn"] == entry["_w_n"])
     joined = d.join(entry.hint("shuffle_hash"), on)
-    nth = F.row_number().over(Window.partitionBy("_w_id", "_w_src", "_w_n").orderBy("_w_id"))
+    nth = F.row_number().over(Window.partitionBy("_w_id", "_w_src", "_w_n").orderBy(F.xxhash64("text")))
     joined = joined.withColumn("_w_nth", nth).filter(F.col("_w_nth") <= F.size("_w_slots"))
     joined = joined.withColumn("_w_slot", F.element_at("_w_slots", F.col("_w_nth")))
     return joined.orderBy("_w_slot._w_vft", F.col("source").asc_nulls_first(), "_w_slot._w_cum").select(*docs.columns)

@@ -9,9 +9,9 @@ mean of its shapes' vectors and the log of its length. One hidden layer and a si
 Fitted on at most `train_rows` labelled rows, the first by a hash of the id; every document is scored on its whole text.
 
 Defined results: null or blank text scores 0 and is rejected; labels that are null, or of documents not there, are not used;
-documents labelled twice count twice in fitting; without labelled rows of both kinds there is no evidence to reject on and the
+documents labelled or standing there twice count once in fitting, once for each label if they differ; without labelled rows of both kinds there is no evidence to reject on and the
 score is 1 for every document with text; repeated rows get the same score; an empty table gives an empty result; other
-columns pass through `keep_good` (names beginning with `_q_` are reserved).
+columns pass through `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import isolated
 from .text import Lookup, flat, mix, pieces, span_hashes, spans
 
 #: Production parameters.
@@ -187,7 +188,8 @@ def sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_q_id"), F.col("quality").alias("_q_y"))
     picked = known.orderBy(F.xxhash64(F.lit("quality"), "_q_id"), "_q_id", "_q_y").limit(train_rows)
     # at most train_rows rows are broadcast and collected
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), docs["doc_id"] == picked["_q_id"]).select("doc_id", "text", "_q_y").collect()
+    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked.distinct()), docs["doc_id"] == picked["_q_id"]).select("doc_id", "text", "_q_y")
+    rows = rows.dropDuplicates().orderBy(F.xxhash64("doc_id", "text"), "_q_y").limit(train_rows).collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1]))
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 
@@ -209,12 +211,14 @@ def _scored(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
     return docs.select(*names).mapInArrow(run, schema)
 
 
+@isolated
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, p_quality and keep of every document."""
     model = fit(*sample(docs, labels, train_rows))
     return _scored(docs, model, ["doc_id"]).select("doc_id", F.round("_q_p", 6).alias("p_quality"), (F.col("_q_p") >= threshold).alias("keep"))
 
 
+@isolated
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that score at least threshold, all columns."""
     model = fit(*sample(docs, labels, train_rows))

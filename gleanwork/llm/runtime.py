@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -49,3 +50,30 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
 def same_key(left: DataFrame, right: DataFrame):
     """Null-safe join condition on the columns of row_key."""
     return left["_id"].eqNullSafe(right["_id"]) & (left["_tx"] == right["_tx"])
+
+
+#: Columns that operators use by name.
+_KNOWN = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "item_id", "vec_id", "embedding", "page_id", "url", "html")
+
+
+def isolated(operator):
+    """Wraps an operator so that no other column of a table, whatever its name, meets a name used inside or differs only in case."""
+
+    @functools.wraps(operator)
+    def wrapped(*args, **parameters):
+        back: dict[str, str] = {}
+
+        def renamed(df):
+            if not isinstance(df, DataFrame):
+                return df
+            names, free = [], set(_KNOWN)
+            for k, name in enumerate(df.columns):
+                names.append(name if name in free else f"x{len(back)}_{k}")
+                free.discard(name)
+                back[names[-1]] = name
+            return df.toDF(*names)
+
+        out = operator(*map(renamed, args), **{k: renamed(v) for k, v in parameters.items()})
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return wrapped

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .runtime import isolated
 from .text import flat, pieces
 
 #: Production parameters; FINDINGS is the bound of the labelled findings the forest is grown on.
@@ -302,6 +303,7 @@ def default_forest() -> Forest:
     return fit(labelled_findings())
 
 
+@isolated
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, rule, span_begin, span_end (characters, end excluded), p_secret and is_secret of every candidate."""
     forest = default_forest() if forest is None else forest

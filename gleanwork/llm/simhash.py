@@ -17,7 +17,7 @@ found with large-star and small-star steps until nothing changes.
 
 Defined results: null texts and texts without words are in no group; a null doc_id is a document like others, never
 chosen over one with an id; repeated rows are copies of each other; the representative is the lowest doc_id, then text hash; an
-empty table gives an empty result; other columns pass through `keep_one` (names beginning with `_` and two letters are reserved).
+empty table gives an empty result; other columns pass through `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, row_key
+from .runtime import isolated, materialize, row_key
 from .text import mix, word_hashes
 
 #: Production parameters.
@@ -219,6 +219,7 @@ def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, matches: int =
     return out.select("_id", "_tx", "_rows", F.col("_lead.i").alias("_gi"), F.col("_lead.t").alias("_gt"), "_size")
 
 
+@isolated
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, group_id (the representative's doc_id) and group_size, one row for each document in a group."""
     g = groups(docs, **parameters)
@@ -226,6 +227,7 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     return g.select(F.col("_id").alias("doc_id"), F.col("_gi").alias("group_id"), F.col("_size").alias("group_size"))
 
 
+@isolated
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that have a better representative of their group."""
     g = groups(docs, **parameters)

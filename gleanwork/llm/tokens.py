@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import isolated
+
 #: Production parameters.
 TOKENIZER = "byte_bpe_50k.tiktoken"
 TOKENIZER_DIR = os.environ.get("GLEANWORK_TOKENIZERS", "/opt/tokenizers")
@@ -77,6 +79,7 @@ def count_batch(texts: list, path: str, batch_bytes: int = BATCH_BYTES, piece_by
     return out
 
 
+@isolated
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, directory: str = TOKENIZER_DIR, batch_bytes: int = BATCH_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id and n_tokens of every document."""
     path = os.path.join(directory, tokenizer)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fresh_path, materialize
+from .runtime import fresh_path, isolated, materialize
 
 #: Production parameters.
 LEVEL, ARCHIVE_BYTES, SPLIT_BYTES, MAX_RECORD, DICT_BYTES, DICT_SAMPLES = 3, 128 << 20, 64 << 20, 1 << 30, 64 << 10, 400
@@ -311,6 +311,7 @@ def http_body(block):
     return F.decode(F.substring(block, F.when(head > 0, head + 4).otherwise(F.lit(1)), F.octet_length(block)), "utf-8")
 
 
+@isolated
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, url, html, body_bytes and error of every page, written to archives in the shared folder and read back."""
     spark = pages.sparkSession
