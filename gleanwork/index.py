@@ -19,7 +19,8 @@ from .operators import derive, edges, fts, geo, ingest, membership, ranking, tim
 from .plans import compile as plan
 from .plans.spec import Spec, context_for_insert, normalize_match, parse, predicate
 
-_TABLES = ("docs", "membership", "timeline_pos", "geo", "edges", "fts", "vectors", "seen", "tombstones", "change_log")
+#: All planes an index may have.
+TABLES = ("docs", "membership", "timeline_pos", "geo", "edges", "fts", "vectors", "seen", "tombstones", "change_log", "postings", "lengths")
 VERSION = 1
 
 
@@ -60,11 +61,13 @@ class Index:
             self.tables["edges"] = made if held is None else made.unionByName(held.filter(F.col("src").isNotNull()).join(made.select("from_id", "p", "to_id"), ["from_id", "p", "to_id"], "left_anti").select(*made.columns))
         if "fts" in want:
             self.tables["fts"] = derive.fts_text(docs).select("doc_id", "fts_text")
+            if "postings" in self.tables:
+                self.build_postings()
         return self
 
     def save(self, path: str) -> Index:
         """Every plane as Parquet, each replaced in one step and sorted by what it is looked up by."""
-        order = {"membership": ("key", "doc_id"), "timeline_pos": ("timeline", "scale", "start_v"), "docs": ("doc_id",), "edges": ("from_id", "p", "to_id"), "geo": ("lat",), "vectors": ("space", "model", "doc_id")}
+        order = {"membership": ("key", "doc_id"), "timeline_pos": ("timeline", "scale", "start_v"), "docs": ("doc_id",), "edges": ("from_id", "p", "to_id"), "geo": ("lat",), "vectors": ("space", "model", "doc_id"), "postings": ("gram", "doc_id"), "lengths": ("doc_id",)}
         for name, df in self.tables.items():
             ingest.swap(df.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else df, f"{path}/{name}")
         meta = {"version": VERSION, "tables": list(self.tables), "trees": [(t.kind, t.to_json()) for t in self._distinct_trees()]}
@@ -208,14 +211,18 @@ class Index:
     def _embedded(self, text: str, space: str):
         return self.embed(text, space) if self.embed else None
 
-    def postings(self, text: str) -> DataFrame:
-        return fts.scan(self.tables["fts"], text)
+    def build_postings(self) -> Index:
+        """A stored text index; without one, texts are scanned."""
+        self.tables["postings"], self.tables["lengths"] = fts.postings(self.tables["fts"]), fts.lengths(self.tables["fts"])
+        return self
 
-    def lengths(self) -> DataFrame:
-        return fts.lengths(self.tables["fts"])
+    def text_scores(self, text: str, scope: DataFrame | None = None) -> DataFrame:
+        if "postings" in self.tables:
+            return fts.scores(self.tables["postings"], self.tables["lengths"], text, scope)
+        return fts.scan_scores(self.tables["fts"], text, scope)
 
     def _fts(self, text: str, scope: DataFrame | None, limit: int | None) -> DataFrame:
-        return fts.search(self.postings(text), self.lengths(), text, scope, limit)
+        return fts.ranked(self.text_scores(text, scope), limit)
 
     def _image(self, text: str, scope: DataFrame | None, depth: int, relative: bool = False) -> DataFrame | None:
         rows, v = self._space("image"), self._embedded(text, "image")
@@ -283,7 +290,7 @@ class Index:
 
     def matches(self, text: str, scope: DataFrame | None, image_depth: int, relative: bool = False) -> DataFrame:
         """doc_ids that a text matches: every lexical match, and image hits to a depth."""
-        out = fts.scores(self.postings(text), self.lengths(), text, scope).select("doc_id")
+        out = self.text_scores(text, scope).select("doc_id")
         image = self._image(text, scope, image_depth, relative) if self.tables.get("vectors") is not None else None
         return out if image is None else out.unionByName(image.select("doc_id")).distinct()
 
@@ -442,7 +449,7 @@ class Index:
         held = self.tables.get("tombstones")
         self.tables["tombstones"] = stones if held is None else held.unionByName(stones)
         gone = doc_ids.select("doc_id").distinct()
-        for name in ("timeline_pos", "geo", "fts", "vectors", "seen"):
+        for name in ("timeline_pos", "geo", "fts", "vectors", "seen", "postings", "lengths"):
             if name in self.tables:
                 self.tables[name] = self.tables[name].join(gone, "doc_id", "left_anti")
         if "timeline_pos" in self.tables:

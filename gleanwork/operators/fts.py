@@ -4,14 +4,15 @@ Tokens are runs of letters and digits, lower-cased and folded to ASCII where tha
 characters are the terms. A query token matches where all its grams occur; a query matches where any of its tokens does. The score sums
 BM25 over the grams of the matched tokens; document frequency and mean length are those of the whole corpus, whatever the scope.
 
-Postings come from a stored index (`postings`, best written out bucketed by gram) or, for one query over texts that have
-none, from a scan that counts the query's own grams alone (`scan`): both have the columns gram, doc_id, tf.
+Scores come from a stored index (`postings`, best written out sorted by gram, and `lengths`) or, where texts have none, from
+scanning them for the query's own grams alone (`scan_scores`).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,30 @@ def grams_of(token: str) -> list[str]:
     return list(dict.fromkeys(token[i : i + n] for n in SIZES for i in range(len(token) - n + 1)))
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(folded(text), _SPLIT), lambda x: F.length(x).between(min(SIZES), MAX_TOKEN))
+def _once(c: Column, use) -> Column:
+    """use(c) with c worked out once for each row, however often use refers to it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _tokens(clean: Column) -> Column:
+    return F.filter(F.split(clean, _SPLIT), lambda x: F.length(x).between(min(SIZES), MAX_TOKEN))
+
+
+def _length(clean: Column) -> Column:
+    n = lambda x: sum((F.greatest(F.length(x) - (s - 1), F.lit(0)) for s in SIZES[1:]), F.length(x) - (SIZES[0] - 1))
+    return F.aggregate(_tokens(clean), F.lit(0).cast("bigint"), lambda acc, x: acc + n(x))
+
+
+def _without_long(clean: Column) -> Column:
+    """Tokens that are too long blanked out: they have no grams."""
+    return F.when(clean.rlike(r"[\p{L}\p{N}]{%d}" % (MAX_TOKEN + 1)), F.regexp_replace(clean, r"[\p{L}\p{N}]{%d,}" % (MAX_TOKEN + 1), " ")).otherwise(clean)
+
+
+def _count(clean: Column, gram: str) -> Column:
+    """Places of a gram; one that can overlap itself is counted by a look-ahead."""
+    if any(gram[:k] == gram[-k:] for k in range(1, len(gram))):
+        return F.regexp_count(clean, F.lit(f"(?={gram})")).cast("bigint")
+    return ((F.length(clean) - F.length(F.replace(clean, F.lit(gram), F.lit("")))) / len(gram)).cast("bigint")
 
 
 def field_text(*fields: Column) -> Column:
@@ -60,28 +83,19 @@ def field_text(*fields: Column) -> Column:
 
 def lengths(texts: DataFrame, text: str = "fts_text") -> DataFrame:
     """doc_id and len, the number of grams, of every text that has any."""
-    n = F.aggregate(_tokens(F.col(text)), F.lit(0).cast("bigint"), lambda acc, x: acc + sum((F.greatest(F.length(x) - (s - 1), F.lit(0)) for s in SIZES[1:]), F.length(x) - (SIZES[0] - 1)))
-    return texts.select("doc_id", n.alias("len")).filter("len > 0")
+    return texts.select("doc_id", _length(folded(F.col(text))).alias("len")).filter("len > 0")
 
 
 def postings(texts: DataFrame, text: str = "fts_text") -> DataFrame:
     """gram, doc_id and tf of a whole corpus; counted inside each document, so nothing is shuffled until it is written by gram."""
     cut = lambda x, n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, n))).otherwise(F.array().cast("array<string>"))
-    rows = texts.select("doc_id", F.explode(_tokens(F.col(text))).alias("t"))
+    rows = texts.select("doc_id", F.explode(_tokens(folded(F.col(text)))).alias("t"))
     rows = rows.select("doc_id", F.explode(F.concat(*(cut(F.col("t"), n) for n in SIZES))).alias("gram"))
     return rows.groupBy("gram", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def scan(texts: DataFrame, query: str, text: str = "fts_text") -> DataFrame:
-    """gram, doc_id and tf for the grams of one query, counted in the texts."""
-    wanted = list(dict.fromkeys(g for t in query_tokens(query) for g in grams_of(t)))
-    if not wanted:
-        return texts.sparkSession.createDataFrame([], "gram string, doc_id bigint, tf bigint")
-    # long tokens have no grams; a look-ahead counts overlapping places
-    clean = F.regexp_replace(folded(F.col(text)), r"[\p{L}\p{N}]{%d,}" % (MAX_TOKEN + 1), " ")
-    counts = F.array(*(F.struct(F.lit(g).alias("gram"), F.regexp_count("_clean", F.lit(f"(?={g})")).cast("bigint").alias("tf")) for g in wanted))
-    rows = texts.select("doc_id", clean.alias("_clean")).filter(F.concat(*(F.col("_clean").contains(g).cast("string") for g in wanted)).contains("true"))
-    return rows.select("doc_id", F.inline(F.filter(counts, lambda c: c["tf"] > 0))).select("gram", "doc_id", "tf")
+def query_grams(query: str) -> list[str]:
+    return list(dict.fromkeys(g for t in query_tokens(query) for g in grams_of(t)))
 
 
 def statistics(lens: DataFrame) -> DataFrame:
@@ -89,10 +103,24 @@ def statistics(lens: DataFrame) -> DataFrame:
     return lens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
 
 
+def _part(tf: Column, df: Column, length: Column, n_docs: Column, mean_len: Column) -> Column:
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_len))
+
+
+def _matched(query: str, present) -> tuple[Column, dict[str, Column]]:
+    """Whether any token is there as a whole, and for each gram whether a token that has it is."""
+    some, counted = F.lit(False), {}
+    for t in query_tokens(query):
+        full = reduce(lambda a, b: a & b, (present(g) for g in grams_of(t)))
+        some = some | full
+        for g in grams_of(t):
+            counted[g] = counted.get(g, F.lit(False)) | full
+    return some, counted
+
+
 def scores(posts: DataFrame, lens: DataFrame, query: str, scope: DataFrame | None = None) -> DataFrame:
-    """doc_id and score of every match inside the scope; no usable token gives no match."""
-    tokens = query_tokens(query)
-    wanted = {g: k for k, g in enumerate(dict.fromkeys(g for t in tokens for g in grams_of(t)))}
+    """doc_id and score of every match inside the scope, from a stored index; no usable token gives no match."""
+    wanted = query_grams(query)
     if not wanted:
         return posts.sparkSession.createDataFrame([], "doc_id bigint, score double")
     hits = posts.filter(F.col("gram").isin(*wanted))
@@ -101,27 +129,35 @@ def scores(posts: DataFrame, lens: DataFrame, query: str, scope: DataFrame | Non
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
     # df has one row a gram of the query, the statistics have one row
     rows = hits.join(F.broadcast(df), "gram").join(lens, "doc_id").crossJoin(F.broadcast(statistics(lens)))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    part = _part(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("mean_len"))
     per_doc = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", part.alias("s")))).alias("m"))
-    total = F.lit(0.0)
-    any_token = F.lit(False)
-    counted: dict[str, Column] = {}
-    for t in tokens:
-        full = F.lit(True)
-        for g in grams_of(t):
-            full = full & F.map_contains_key("m", F.lit(g))
-        any_token = any_token | full
-        for g in grams_of(t):
-            counted[g] = counted.get(g, F.lit(False)) | full
-    for g in sorted(counted):
-        total = total + F.when(counted[g], F.col("m")[g]).otherwise(F.lit(0.0))
-    return per_doc.filter(any_token).select("doc_id", total.alias("score"))
+    some, counted = _matched(query, lambda g: F.map_contains_key("m", F.lit(g)))
+    total = reduce(lambda a, b: a + b, (F.when(counted[g], F.col("m")[g]).otherwise(F.lit(0.0)) for g in sorted(counted)))
+    return per_doc.filter(some).select("doc_id", total.alias("score"))
+
+
+def scan_scores(texts: DataFrame, query: str, scope: DataFrame | None = None, text: str = "fts_text") -> DataFrame:
+    """scores without a stored index: one pass over all texts for the corpus's figures, one over those in the scope; nothing is shuffled but one row."""
+    wanted = sorted(query_grams(query))
+    if not wanted:
+        return texts.sparkSession.createDataFrame([], "doc_id bigint, score double")
+
+    def facts(rows: DataFrame) -> DataFrame:
+        both = _once(folded(F.col(text)), lambda c: F.struct(_length(c).alias("len"), _once(_without_long(c), lambda x: F.array(*(_count(x, g) for g in wanted))).alias("tf")))
+        return rows.select("doc_id", both.alias("f")).select("doc_id", "f.len", "f.tf").filter("len > 0")
+
+    tf = {g: F.get("tf", F.lit(k)) for k, g in enumerate(wanted)}
+    corpus = facts(texts).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"), *(F.count_if(tf[g] > 0).alias(f"df{k}") for k, g in enumerate(wanted)))
+    inside = texts if scope is None else texts.join(scope.select("doc_id"), "doc_id", "left_semi")
+    some, counted = _matched(query, lambda g: tf[g] > 0)
+    rows = facts(inside).filter(some).crossJoin(F.broadcast(corpus))
+    total = reduce(lambda a, b: a + b, (F.when(counted[g], _part(tf[g], F.col(f"df{k}"), F.col("len"), F.col("n_docs"), F.col("mean_len"))).otherwise(F.lit(0.0)) for k, g in enumerate(wanted)))
+    return rows.select("doc_id", total.alias("score"))
 
 
-def search(posts: DataFrame, lens: DataFrame, query: str, scope: DataFrame | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+def ranked(scored: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """doc_id and score (6 digits) in rank order, ties by id."""
-    out = scores(posts, lens, query, scope).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id")
+    out = scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id")
     if offset:
         out = out.offset(offset)
     return out if not limit else out.limit(limit)
