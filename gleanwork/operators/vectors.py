@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def distances(rows: DataFrame, query, vector: str = "vector", doc_id: str = "doc
     def run(batches):
         for b in batches:
             lists = b.column("v")
-            ok = np.flatnonzero(np.asarray(pa.compute.fill_null(lists.value_lengths(), 0)) == len(q))
+            ok = np.flatnonzero(np.asarray(pc.fill_null(lists.value_lengths(), 0)) == len(q))
             v = lists.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(len(ok), len(q)).astype(np.float64)
             norm = np.sqrt((v * v).sum(1))
             fine = np.isfinite(norm) & (norm > 0)
