@@ -25,11 +25,15 @@ _PAIRS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def folded(text: Column) -> Column:
     out = F.translate(F.lower(text), FROM, TO)
     for a, b in _PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(_ascii(text), F.lower(text)).otherwise(out)
 
 
 def fold(text: str) -> str:
@@ -55,7 +59,8 @@ def _once(c: Column, use) -> Column:
 
 
 def _tokens(clean: Column) -> Column:
-    return F.filter(F.split(clean, _SPLIT), lambda x: F.length(x).between(min(SIZES), MAX_TOKEN))
+    words = F.when(_ascii(clean), F.split(clean, "[^a-z0-9]+")).otherwise(F.split(clean, _SPLIT))
+    return F.filter(words, lambda x: F.length(x).between(min(SIZES), MAX_TOKEN))
 
 
 def _length(clean: Column) -> Column:
