@@ -105,11 +105,14 @@ def predict(filters: Filters, column: pa.Array) -> tuple[list[str], np.ndarray,
             first, last = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b - 1, "right") - 1
             begin = np.maximum(offs[first : last + 1], a)
             end = np.minimum(offs[first : last + 1] + size[first : last + 1], a + len(found))
+            # a text too short for an n-gram may stand behind the last one of the piece
+            low = np.minimum(begin - a, len(found))
+            high = np.maximum(end - a, low)
             for k in range(langs):
                 bits = np.empty(len(found) + 1, np.int64)
                 bits[0] = 0
                 np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), out=bits[1:])
-                hits[first : last + 1, k] += np.where(end > begin, bits[np.maximum(end, begin) - a] - bits[begin - a], 0)
+                hits[first : last + 1, k] += bits[high] - bits[low]
     rate = np.append(filters.false_rates(), np.zeros(max(0, 1 - langs)))
     score = (hits - size[:, None] * rate) / np.maximum(1 - rate, 1e-9)
     best = score.argmax(1)
