@@ -166,7 +166,7 @@ class Forest:
         return total / len(self.trees)
 
     def score(self, found: list[Finding]) -> np.ndarray:
-        return self.probability(np.array([features(f, self.bigrams, self.words) for f in found]).reshape(len(found), -1))
+        return self.probability(np.array([features(f, self.bigrams, self.words) for f in found]) if found else np.zeros((0, 1)))
 
 
 def _split(x: np.ndarray, y: np.ndarray, columns: np.ndarray, leaf: int):
