@@ -77,8 +77,8 @@ def _schedule(docs: DataFrame, weights: dict, other: int, per_mille: int, seed:
 def schedule(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mille: int = BUDGET_PER_MILLE, seed: str = SEED, budget: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, source, n_tokens, vft (times the weights' least common multiple) and cum_tokens, in the order of the mix."""
     s = _schedule(docs, WEIGHTS if weights is None else weights, other, per_mille, seed, budget, slice_rows)
-    out = s.select(F.col("_w_id").alias("doc_id"), F.col("_w_src").alias("source"), F.col("_w_n").alias("n_tokens"), F.col("_w_vft").alias("vft"), F.col("_w_cum").alias("cum_tokens"))
-    return out.orderBy("vft", F.col("source").asc_nulls_first(), "doc_id")
+    s = s.orderBy("_w_vft", F.col("_w_src").asc_nulls_first(), "_w_key", "_w_id", "_w_n")
+    return s.select(F.col("_w_id").alias("doc_id"), F.col("_w_src").alias("source"), F.col("_w_n").alias("n_tokens"), F.col("_w_vft").alias("vft"), F.col("_w_cum").alias("cum_tokens"))
 
 
 @isolated
@@ -91,14 +91,14 @@ def mix(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mi
     """
     weights = WEIGHTS if weights is None else weights
     s = materialize(_schedule(docs, weights, other, per_mille, seed, budget, slice_rows), "mix-kept")
-    entry = s.groupBy("_w_id", "_w_src", "_w_n").agg(F.sort_array(F.collect_list(F.struct("_w_vft", "_w_cum"))).alias("_w_slots"))
+    entry = s.groupBy("_w_id", "_w_src", "_w_n").agg(F.sort_array(F.collect_list(F.struct("_w_vft", "_w_key", "_w_cum"))).alias("_w_slots"))
     d = docs.withColumns({"_w_tn": n_tokens(F.col("text"))})
     on = d["doc_id"].eqNullSafe(entry["_w_id"]) & d["source"].eqNullSafe(entry["_w_src"]) & (d["_w_tn"] == entry["_w_n"])
     joined = d.join(entry.hint("shuffle_hash"), on)
     nth = F.row_number().over(Window.partitionBy("_w_id", "_w_src", "_w_n").orderBy(F.xxhash64("text")))
     joined = joined.withColumn("_w_nth", nth).filter(F.col("_w_nth") <= F.size("_w_slots"))
     joined = joined.withColumn("_w_slot", F.element_at("_w_slots", F.col("_w_nth")))
-    return joined.orderBy("_w_slot._w_vft", F.col("source").asc_nulls_first(), "_w_slot._w_cum").select(*docs.columns)
+    return joined.orderBy("_w_slot._w_vft", F.col("source").asc_nulls_first(), "_w_slot._w_key", "doc_id", "_w_tn").select(*docs.columns)
 
 
 def schedule_sql(weights: dict | None = None, other: int = OTHER, per_mille: int = BUDGET_PER_MILLE, seed: str = SEED) -> str:
