@@ -57,7 +57,7 @@ def scan(spark: SparkSession, root: str, device: str = "local", exclude: tuple[s
     sums = F.array(F.concat(F.lit("sha1/"), F.sha1("content")), F.concat(F.lit("sha256/"), F.sha2("content", 256)))
     made = {"schema": F.lit("data/schema/file"), "data": data, "locations": where, "metadata": meta, "checksums": sums, "updated_at": F.col("modificationTime")}
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], DOCS).schema}
-    return rows.select(*(made.get(c, null("string")).cast(t).alias(c) for c, t in kinds.items()), F.col("_rel").alias("pos"))
+    return rows.select(*((made[c] if c in made else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()), F.col("_rel").alias("pos"))
 
 
 def dump_documents(docs: DataFrame, ids: DataFrame, path: str) -> None:
