@@ -25,7 +25,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return str(SF)
-
-
-def ids(df, column="doc_id"):
-    return sorted(r[0] for r in df.select(column).collect())
