@@ -713,9 +713,9 @@ def vector_tables(spark, sf):
 # -- fusion
 
 
-def _rrf_sql(text: str, weights: tuple[float, float], scope: str = "TRUE", limit: int = 20, within: str | None = None) -> str:
+def _rrf_sql(text: str, weights: tuple[float, float], within: str, limit: int = 20) -> str:
     depth = ranking.depth_for(limit)
-    ids = f"doc_id IN ({within})" if within else "TRUE"
+    ids = f"doc_id IN ({within})"
     return f"""WITH {_bm25_sql(text, ids)},
 v AS (SELECT vec_id AS doc_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(text)})), 9) AS distance FROM embeddings WHERE {ids.replace('doc_id IN', 'vec_id IN')}),
 a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM bm QUALIFY r < {depth}),
@@ -724,13 +724,13 @@ f AS (SELECT doc_id, round(sum(w / (60 + r + 1)), 9) AS score, min((leg, r)) AS
 SELECT doc_id, score FROM f ORDER BY score DESC, first LIMIT {limit}"""
 
 
-@query(_rrf_sql("with the", (2, 1)))
+@query(_rrf_sql("with the", (2, 1), within="SELECT doc_id FROM documents"))
 def rrf_hybrid(spark, sf):
     every = [f"data/dataset/src{k}" for k in range(5)]
     return index(spark, sf).query("with the", {"features": every, "limit": 20})
 
 
-@query(_rrf_sql("with the", (1, 3)))
+@query(_rrf_sql("with the", (1, 3), within="SELECT doc_id FROM documents"))
 def rrf_weighted(spark, sf):
     ix = index(spark, sf)
     ix.tuning = ranking.Tuning.make(weights={"fts": 1, "dense": 3})
