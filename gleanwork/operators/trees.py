@@ -37,7 +37,7 @@ class Layer:
     name: str
     type: str = "context"
     locked: bool = False
-    spec: dict | None = None  # of a canvas: a stored query
+    spec: dict | None = None  # of a view: a stored query
     extra: dict = field(default_factory=dict)
 
 
@@ -201,11 +201,11 @@ class ContextTree(_Tree):
         return tree
 
     def keys_for(self, path: str, recursive: bool = False) -> list[str] | None:
-        """The layer keys a document needs to be on a path; canvases don't count. None where the path isn't there."""
+        """The layer keys a document needs to be on a path; views don't count. None where the path isn't there."""
         chain = self.chain(path)
         if chain is None:
             return None
-        below = [n for n in chain[1:] if n.layer.type != "canvas"]
+        below = [n for n in chain[1:] if n.layer.type != "view"]
         return list(dict.fromkeys(self.key(n.layer) for n in below)) or [self.key(self.root.layer)]
 
     def write_keys(self, paths: list[str]) -> list[str]:
@@ -213,7 +213,7 @@ class ContextTree(_Tree):
         out = [self.key(self.root.layer)]
         for p in paths:
             self.insert(p)
-            out += [self.key(n.layer) for n in self.chain(p)[1:] if n.layer.type != "canvas"]
+            out += [self.key(n.layer) for n in self.chain(p)[1:] if n.layer.type != "view"]
         return list(dict.fromkeys(out))
 
     def unlink_keys(self, path: str, recursive: bool = False) -> list[str]:
@@ -269,10 +269,10 @@ class ContextTree(_Tree):
         del self.layers[name.casefold()]
         return self.key(layer)
 
-    def canvas(self, path: str, spec: dict) -> Layer:
+    def view(self, path: str, spec: dict) -> Layer:
         """A node that stores a query and constrains nothing itself."""
         node = self.insert(path)
-        node.layer.type, node.layer.spec = "canvas", spec
+        node.layer.type, node.layer.spec = "view", spec
         return node.layer
 
     def copy(self, path: str, to: str) -> None:

@@ -44,7 +44,7 @@ def _core() -> list[Schema]:
         Schema("data/schema/tab", "app", (("url", s), ("title", s)), ("url",), ("data.title", "data.url"), ("data.url",)),
         Schema("data/schema/link", "app", (("uri", s), ("label", s), ("tags", "array<string>"), ("properties", "map<string,string>")), ("uri",), ("data.label", "data.description", "data.uri"), ("data.uri",)),
         Schema("data/schema/dotfile", "app", (("url", s), ("type", s), ("links", "map<string,string>")), ("url",), ("data.urls", "data.url", "data.description"), ("data.url",), subtype="data.type", merge=("links",)),
-        *(Schema(f"internal/layers/{x}", "internal") for x in ("canvas", "context", "label", "system", "universe", "workspace", "project")),
+        *(Schema(f"internal/layers/{x}", "internal") for x in ("view", "context", "label", "system", "universe", "workspace", "project")),
     ]
 
 

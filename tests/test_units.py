@@ -132,8 +132,8 @@ def test_context_tree():
     c.insert("/home/Alpha")
     assert c.keys_for("/work/alpha")[-1] == c.keys_for("/home/alpha")[-1]  # a layer is shared by name
     assert c.keys_for("/nowhere") is None and len(c.keys_for("/")) == 1
-    c.canvas("/work/alpha/view", {"features": ["tag/x"]})
-    assert c.keys_for("/work/alpha/view") == c.keys_for("/work/alpha")
+    c.view("/work/alpha/mine", {"features": ["tag/x"]})
+    assert c.keys_for("/work/alpha/mine") == c.keys_for("/work/alpha")
     assert c.unlink_keys("/work/alpha") == c.keys_for("/work/alpha")[-1:] and c.unlink_keys("/work/alpha", True) == c.keys_for("/work/alpha")
     c.rename_layer("alpha", "beta")
     assert c.exists("/home/beta") and not c.exists("/work/alpha")
