@@ -393,9 +393,9 @@ def tl_sort_asc(spark, sf):
     return _sorted(spark, sf, False)
 
 
-@query(f"{_SORT} ORDER BY sort_ms DESC NULLS LAST, doc_id DESC LIMIT 1000")
+@query(f"{_SORT} ORDER BY sort_ms DESC NULLS LAST, doc_id DESC")
 def tl_sort_desc(spark, sf):
-    return _sorted(spark, sf, True).limit(1000)
+    return _sorted(spark, sf, True)
 
 
 @query(f"SELECT doc_id, 'shipping' AS timeline, 'day' AS scale, 'end' AS side, date_diff('day', DATE '1970-01-01', a)::BIGINT AS start_v, NULL::BIGINT AS end_v FROM ({_SHIP}) WHERE b IS NULL")
