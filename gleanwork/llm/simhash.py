@@ -1,15 +1,16 @@
-"""SimHash near-dedup over a byte-position inverted index with count filtering.
+"""SimHash near-dedup over an inverted index of positional bits with a guaranteed minimum count.
 
-A document's fingerprint is a SimHash of its words: 128 bits to index, 64 more to verify. Words that make up more than
+A document's fingerprint is a SimHash of its words: 192 bits, all of them indexed. Words that make up more than
 1 / `common` of all words of the corpus are left out (their bins are counted over all documents), as they make unrelated texts
 alike; a document that would keep fewer than `few` words keeps all.
 
-The 128 bits are 16 positional bytes. A list for each (position, byte) would hold a 256th of the corpus, so the index's lists
-are keyed by two positions of the same half and their bytes: 56 keys. Any two documents that share at least
-`matches` = 3 positional bytes share two in one half, so they meet in a list: nothing that passes the count filter is lost.
-In each list the shared positional bytes of every pair are tallied, pairs below `matches` dropped, the others verified by the
-Hamming distance over all 192 bits, at most `distance`. Near copies some 6 % of whose words differ are at about 20 and share 7 bytes.
-(That every pair within the distance shares 3 bytes isn't guaranteed, since 38 flipped bits can hit all 16 bytes; measured, over 97 % do.)
+All 192 bits are 64 positions of 3 bits, in 8 groups of 8. Two fingerprints at most `distance` bits apart share 64 - distance
+positions at least (26 for 38), whichever bits differ, so in one group a guaranteed number of positions (4 of 8). The index has a
+list for each such set of positions and their values, 560 for each fingerprint; any two within the distance meet in one. Rows are sent once for
+each possible first position of a set (40 times in all), and a task forms the lists of the sets that begin there.
+In each list every pair is compared over all 192 bits, so exactly the pairs within the distance are found. A list holds a 4096th
+of the corpus: the comparisons are some 14 % of all pairs and grow with the square of the number of different fingerprints.
+`matches` asks besides for so many of the first 16 bytes in common; no number above 0 is guaranteed for pairs within the distance.
 
 Documents of equal fingerprint are one node of the index, so thousands of copies don't make millions of pairs; lists are expanded
 without a cap, and each task reports spanning links of what it found, not all pairs. Groups are the connected components,
@@ -33,11 +34,13 @@ from .runtime import isolated, materialize, row_key
 from .text import mix, word_hashes
 
 #: Production parameters.
-COMMON, FEW, MATCHES, DISTANCE = 5000, 8, 3, 38
+COMMON, FEW, MATCHES, DISTANCE = 5000, 8, 0, 38
 _BINS = 18
 #: Rows of the index in a task, about.
 TASK_ROWS = 400_000
-PAIRS = [p for half in (range(8), range(8, 16)) for p in combinations(half, 2)]
+_GROUPS, _PLACES = 8, 8
+#: Pairs held before they are reduced to spanning links.
+_HELD = 1 << 20
 _LANE = np.uint64(0x0101010101010101)
 
 
@@ -97,34 +100,25 @@ def fingerprints(column: pa.Array, common: np.ndarray | None, few: int = FEW) ->
     return out, have
 
 
-def keys_of(f: np.ndarray) -> np.ndarray:
-    """The 56 keys of each fingerprint: number of the pair of positions, and the two bytes."""
-    b = np.ascontiguousarray(f[:, :2]).view(np.uint8).astype(np.int32)
-    return np.stack([(k << 16) | (b[:, i] << 8) | b[:, j] for k, (i, j) in enumerate(PAIRS)], axis=1)
+def shared_in_group(distance: int) -> int:
+    """Positions of one group that two fingerprints within the distance share at least."""
+    if not 0 <= distance < _GROUPS * _PLACES:
+        raise ValueError(f"distance is 0 to {_GROUPS * _PLACES - 1}")
+    return -(-(_GROUPS * _PLACES - distance) // _GROUPS)
 
 
-def _links(key: np.ndarray, f: np.ndarray, matches: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that share a key, enough positional bytes, and are within the distance."""
-    order = np.argsort(key, kind="stable")
-    key, f = key[order], f[order]
-    end = np.searchsorted(key, key, "right")
-    bytes_ = np.ascontiguousarray(f[:, :2]).view(np.uint8)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    live, gap = np.arange(len(key)), 1
-    while True:
-        live = live[live + gap < end[live]]
-        if not len(live):
-            break
-        for at in range(0, len(live), 1 << 18):
-            i = live[at : at + (1 << 18)]
-            j = i + gap
-            near = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64) <= distance
-            i, j = i[near], j[near]
-            tally = (bytes_[i] == bytes_[j]).sum(1)
-            left.append(order[i[tally >= matches]])
-            right.append(order[j[tally >= matches]])
-        gap += 1
-    return np.concatenate(left), np.concatenate(right)
+def _places(f: np.ndarray, groups: slice = slice(None)) -> np.ndarray:
+    """Values of the positions: rows, groups, positions."""
+    data = np.ascontiguousarray(f).view(np.uint8).reshape(len(f), _GROUPS, 3)[:, groups]
+    bits = np.unpackbits(data, axis=2).reshape(len(f), -1, _PLACES, 3)
+    return bits[..., 0] << 2 | bits[..., 1] << 1 | bits[..., 2]
+
+
+def keys_of(f: np.ndarray, shared: int) -> np.ndarray:
+    """Keys of each fingerprint: group, first position of a set of `shared` ones, and its value."""
+    firsts = _PLACES - shared + 1
+    at = np.arange(_GROUPS * firsts, dtype=np.int32).reshape(_GROUPS, firsts)
+    return (at * 8 + _places(f)[:, :, :firsts]).reshape(len(f), -1)
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,22 +140,69 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _links(key: int, f: np.ndarray, matches: int, distance: int) -> np.ndarray:
+    """Rows that have one key: lowest row of each row's component by the pairs that share a set which begins there and are within the distance."""
+    shared = shared_in_group(distance)
+    group, first = divmod(key // 8, _PLACES - shared + 1)
+    places = _places(f, slice(group, group + 1))[:, 0].astype(np.int64)
+    root, left, right, held = np.arange(len(f)), [], [], 0
+
+    def reduced() -> np.ndarray:
+        moved = np.flatnonzero(root != np.arange(len(f)))
+        return _spanning(len(f), np.concatenate([moved, *left]), np.concatenate([root[moved], *right]))
+
+    for rest in combinations(range(first + 1, _PLACES), shared - 1):
+        value = np.zeros(len(f), np.int64)
+        for p in rest:
+            value = value << 3 | places[:, p]
+        # the longest lists first, so that those longer than a gap are the first rows
+        _, value, size = np.unique(value, return_inverse=True, return_counts=True)
+        by_size = np.argsort(-size, kind="stable")
+        nth = np.empty(len(size), np.int64)
+        nth[by_size] = np.arange(len(size))
+        value = nth[value]
+        order = np.argsort(value.astype(np.uint16 if len(size) < 1 << 16 else np.int64), kind="stable")
+        size = size[by_size]
+        rows = np.cumsum(size)
+        value, g = value[order].astype(np.int32), np.ascontiguousarray(f[order].T)
+        for gap in range(1, int(size[0])):
+            n = int(rows[np.searchsorted(-size, -gap, "left") - 1])
+            for at in range(0, n - gap, 1 << 15):
+                to = min(at + (1 << 15), n - gap)
+                i, j = slice(at, to), slice(at + gap, to + gap)
+                apart = np.bitwise_count(g[0, i] ^ g[0, j])
+                apart += np.bitwise_count(g[1, i] ^ g[1, j])
+                near = np.flatnonzero(apart <= distance)
+                if len(near):
+                    near = near[(value[i][near] == value[j][near]) & (apart[near] + np.bitwise_count(g[2, i][near] ^ g[2, j][near]) <= distance)]
+                    a, b = order[i][near], order[j][near]
+                    if matches:
+                        enough = (f[a, :2].view(np.uint8) == f[b, :2].view(np.uint8)).sum(1) >= matches
+                        a, b = a[enough], b[enough]
+                    left.append(a)
+                    right.append(b)
+                    held += len(a)
+            if held > _HELD:
+                root, left, right, held = reduced(), [], [], 0
+        if left:
+            root, left, right, held = reduced(), [], [], 0
+    return root
+
+
 def _search(batches, matches: int, distance: int):
     parts = [(b.column("key").to_numpy(), np.stack([b.column(c).to_numpy() for c in ("f1", "f2", "f3")], 1).view(np.uint64)) for b in batches if b.num_rows]
     if not parts:
         return
     key, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    a, b = _links(key, f, matches, distance)
-    if not len(a):
-        return
-    # rows of one fingerprint are one node
-    rows = np.unique(np.concatenate([a, b]))
-    nodes, node_of = np.unique(f[rows, :2], axis=0, return_inverse=True)
-    node_of = node_of.reshape(-1)
-    root = _spanning(len(nodes), node_of[np.searchsorted(rows, a)], node_of[np.searchsorted(rows, b)])
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    u, v = nodes[moved].view(np.int64), nodes[root[moved]].view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (u[:, 0], u[:, 1], v[:, 0], v[:, 1])], ["u1", "u2", "v1", "v2"])
+    del parts
+    order = np.argsort(key, kind="stable")
+    ends = np.flatnonzero(np.diff(key[order])) + 1
+    for rows in np.split(order, ends):
+        nodes = f[rows]
+        root = _links(int(key[rows[0]]), nodes, matches, distance)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        u, v = nodes[moved].view(np.int64), nodes[root[moved]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (u[:, 0], u[:, 1], v[:, 0], v[:, 1])], ["u1", "u2", "v1", "v2"])
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -186,6 +227,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, matches: int = MATCHES, distance: int = DISTANCE, task_rows: int = TASK_ROWS) -> DataFrame:
     """_id, _tx, number of such rows, and the key (_gi, _gt) and size of the group, for every document in a group of two or more rows."""
+    shared = shared_in_group(distance)
     flags = common_bins(docs, common)
 
     def run(batches):
@@ -198,15 +240,15 @@ def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, matches: int =
     kind = source.schema["_id"].dataType.simpleString()
     prints = source.mapInArrow(run, f"_id {kind}, _tx bigint, f1 bigint, f2 bigint, f3 bigint, have boolean").filter("have").drop("have")
     prints = materialize(prints, "simhash-prints")
-    nodes = materialize(prints.groupBy("f1", "f2").agg(F.min("f3").alias("f3")), "simhash-nodes")
+    nodes = materialize(prints.select("f1", "f2", "f3").distinct(), "simhash-nodes")
 
     def index(batches):
         for b in batches:
             f = np.stack([b.column(c).to_numpy() for c in ("f1", "f2", "f3")], 1)
-            keys = keys_of(f.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(PAIRS)), pa.array(keys.reshape(-1))), b.column("f1"), b.column("f2"), b.column("f3")], ["keys", "f1", "f2", "f3"])
+            keys = keys_of(f.view(np.uint64), shared)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))), b.column("f1"), b.column("f2"), b.column("f3")], ["keys", "f1", "f2", "f3"])
 
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * len(PAIRS) // task_rows))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * _GROUPS * (_PLACES - shared + 1) // task_rows))
     rows = nodes.mapInArrow(index, "keys array<int>, f1 bigint, f2 bigint, f3 bigint").select(F.explode("keys").alias("key"), "f1", "f2", "f3")
     found = rows.repartition(tasks, "key").mapInArrow(lambda it: _search(it, matches, distance), "u1 bigint, u2 bigint, v1 bigint, v2 bigint")
     comp = _components(found).select(F.col("u.a").alias("c1"), F.col("u.b").alias("c2"), F.col("v").alias("_root"))

@@ -98,3 +98,38 @@ def test_groups_equal_brute_force_over_fingerprints(make):
     want = {k: (find(k), size[find(k)]) for k in range(len(rows)) if size[find(k)] > 1}
     assert {r["doc_id"]: (r["group_id"], r["group_size"]) for r in simhash.near_duplicates(docs).collect()} == want
     assert simhash.keep_one(docs).count() == len(size)
+
+
+def test_all_pairs_within_the_distance_are_found_by_band(make):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(300):
+        t = rng.integers(0, 50_000, 100)
+        copy = t.copy()
+        at = rng.choice(100, 8 + k % 9, replace=False)
+        copy[at] = rng.integers(50_000, 90_000, len(at))
+        texts += [" ".join(f"w{x}" for x in t), " ".join(f"w{x}" for x in copy)]
+    docs = make([(k, t, "en", "s") for k, t in enumerate(texts)])
+    f, _ = simhash.fingerprints(pa.array(texts), simhash.common_bins(docs))
+    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
+    bands = defaultdict(list)
+    for a in range(len(texts)):
+        for b in np.flatnonzero(np.bitwise_count(f[a] ^ f[a + 1 :]).sum(1) <= simhash.DISTANCE) + a + 1:
+            bands[int(np.bitwise_count(f[a] ^ f[b]).sum()) // 4].append(group.get(a, -1) == group.get(int(b), -2))
+    assert min(len(bands[b]) for b in (6, 7, 8)) >= 20
+    assert {b: sum(hit) / len(hit) for b, hit in bands.items()} == dict.fromkeys(bands, 1.0)
+
+
+@pytest.mark.parametrize("distance", [0, 10, 31, 38, 45])
+def test_index_meets_every_pair_within_the_distance(distance):
+    rng = np.random.default_rng(distance)
+    shared = simhash.shared_in_group(distance)
+    f = rng.integers(0, 256, (200, 24), dtype=np.uint8)
+    bits = np.unpackbits(f, axis=1)
+    for row in bits:
+        row[rng.choice(192, distance, replace=False)] ^= 1
+    a, b = f.view(np.uint64), np.packbits(bits, axis=1).view(np.uint64)
+    same = simhash.keys_of(a, shared) == simhash.keys_of(b, shared)
+    keys = simhash.keys_of(a, shared)
+    for k in range(200):
+        assert any(simhash._links(int(key), np.stack([a[k], b[k]]), 0, distance)[1] == 0 for key in keys[k][same[k]])
