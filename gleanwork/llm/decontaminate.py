@@ -205,6 +205,25 @@ def find_spans(column: pa.Array, p: Phrases, rate: int = RATE) -> dict[int, list
     return out
 
 
+def find_all(column: pa.Array, parts: list[Phrases], rate: int = RATE) -> dict[int, list[tuple[int, int]]]:
+    """The same for several phrase sets, each searched in the texts as they are; their ranges are merged."""
+    if len(parts) == 1:
+        return find_spans(column, parts[0], rate)
+    found: dict[int, list[tuple[int, int]]] = {}
+    for p in parts:
+        for d, words in find_spans(column, p, rate).items():
+            found.setdefault(d, []).extend(words)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for d, words in found.items():
+        have = out.setdefault(d, [])
+        for a, b in sorted(words):
+            if have and a <= have[-1][1]:
+                have[-1] = (have[-1][0], max(have[-1][1], b))
+            else:
+                have.append((a, b))
+    return out
+
+
 def to_chars(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character ranges of word ranges."""
     places = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -277,19 +296,10 @@ def removal_spans(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LE
 
     def merged(batches):
         for b in _shards(batches, shard_words):
-            found: dict[int, list[tuple[int, int]]] = {}
-            for p in parts:
-                for d, words in find_spans(b.column("text"), p, rate).items():
-                    found.setdefault(d, []).extend(words)
+            found = find_all(b.column("text"), parts, rate)
             rows = []
             for d, words in sorted(found.items()):
-                joined: list[list[int]] = []
-                for a, e in sorted(words):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], e)
-                    else:
-                        joined.append([a, e])
-                rows += [(b.column("doc_id")[d].as_py(), s, e, j - i) for (s, e), (i, j) in zip(to_chars(b.column("text")[d].as_py(), joined), joined, strict=True)]
+                rows += [(b.column("doc_id")[d].as_py(), s, e, j - i) for (s, e), (i, j) in zip(to_chars(b.column("text")[d].as_py(), words), words, strict=True)]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "span_begin", "span_end", "n_words"])
 
@@ -299,26 +309,24 @@ def removal_spans(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LE
 @isolated
 def scrub(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LEAST, shard_words: int = SHARD_WORDS, rate: int = RATE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents without their removal spans; those of which only blanks are left go."""
-    out = docs
-    for p in _sliced(bench, n, least, slice_bytes):
+    parts = _sliced(bench, n, least, slice_bytes)
 
-        def run(batches, p=p):
-            for b in _shards(batches, shard_words):
-                found = find_spans(b.column("text"), p, rate)
-                if found:
-                    texts, keep = b.column("text").to_pylist(), np.ones(b.num_rows, bool)
-                    sizes = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
-                    for d, words in found.items():
-                        texts[d] = _cut(texts[d], to_chars(texts[d], words))
-                        keep[d] = bool(WORD.search(texts[d]))
-                        if sizes:
-                            sizes[d] = len(texts[d])
-                    cols = [pa.array(texts, b.schema.field("text").type) if f.name == "text" else pa.array(sizes, f.type) if f.name == "n_chars" else b.column(f.name) for f in b.schema]
-                    b = pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep))
-                yield b
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    def run(batches):
+        for b in _shards(batches, shard_words):
+            found = find_all(b.column("text"), parts, rate)
+            if found:
+                texts, keep = b.column("text").to_pylist(), np.ones(b.num_rows, bool)
+                sizes = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
+                for d, words in found.items():
+                    texts[d] = _cut(texts[d], to_chars(texts[d], words))
+                    keep[d] = bool(WORD.search(texts[d]))
+                    if sizes:
+                        sizes[d] = len(texts[d])
+                cols = [pa.array(texts, b.schema.field("text").type) if f.name == "text" else pa.array(sizes, f.type) if f.name == "n_chars" else b.column(f.name) for f in b.schema]
+                b = pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def spans_sql(n: int = N, least: int = LEAST) -> str:

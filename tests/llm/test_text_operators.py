@@ -182,3 +182,15 @@ def test_traces_miss_no_candidate():
     texts = ["".join(parts[j] for j in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(2000)]
     trace = secrets.has_trace(pa.array(texts))
     assert all(trace[k] for k, t in enumerate(texts) if any(True for _ in secrets.candidates(t)))
+
+
+@pytest.mark.parametrize("slice_bytes", [de.SLICE_BYTES, 300])
+def test_scrub_cuts_the_same_whatever_the_slices(spark, make, slice_bytes):
+    w = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(0, " ".join(w[:20])), (1, " ".join(w[14:25])), (2, " ".join(w[40:48]))], "item_id bigint, text string")
+    # overlapping items; and a cut that brings the two halves of item 2 together
+    docs = make([(1, " ".join(["a", *w[:25], "z"]), "en", "s"), (2, " ".join([*w[40:44], *w[:20], *w[44:48]]), "en", "s")])
+    left = {r["doc_id"]: r["text"].split() for r in de.scrub(docs, bench, slice_bytes=slice_bytes).collect()}
+    assert left == {1: ["a", "z"], 2: w[40:48]}
+    spans = {r["doc_id"]: r["n_words"] for r in de.removal_spans(docs, bench, slice_bytes=slice_bytes).collect()}
+    assert spans == {1: 25, 2: 20}
