@@ -224,7 +224,7 @@ class Index:
     def _fts(self, text: str, scope: DataFrame | None, limit: int | None) -> DataFrame:
         return fts.ranked(self.text_scores(text, scope), limit)
 
-    def _image(self, text: str, scope: DataFrame | None, depth: int, relative: bool = False) -> DataFrame | None:
+    def _image(self, text: str, scope: DataFrame | None, depth: int | None, relative: bool = False) -> DataFrame | None:
         rows, v = self._space("image"), self._embedded(text, "image")
         if rows is None or v is None:
             return None
@@ -259,7 +259,7 @@ class Index:
             v = self._embedded(text, "text")
             rows = self._space("text")
             dense = vectors.search(rows, v, scope, depth, min_distance=min_distance, max_distance=max_distance) if v is not None else None
-            image = self._image(text, scope, depth or 1_000_000, relative)
+            image = self._image(text, scope, depth, relative)
         legs = []
         if mode != "vector" or (dense is None and image is None and not extra):
             legs.append(as_leg(self._fts(text, scope, depth), w["fts"], by_score))

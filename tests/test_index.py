@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import keys
 from gleanwork.index import Index
-from gleanwork.operators import derive, edges, fts, geo, ingest, membership, timelines, trees, vectors
+from gleanwork.operators import derive, edges, fts, geo, ingest, membership, ranking, timelines, trees, vectors
 from gleanwork.sources import connectors, files
 from gleanwork.streaming import live
 
@@ -311,3 +311,20 @@ def test_swap_and_backup(spark, tmp_path):
     for k in range(4):
         held = ingest.backup(path, f"{tmp_path}/b", f"2024-01-0{k + 1}", keep=2)
     assert [p[-2:] for p in held] == ["03", "04"]
+
+
+def test_a_limit_of_0_cuts_no_image_hits(spark):
+    class Images(Index):
+        def __init__(self):
+            self.tables, self.tuning = {"vectors": True}, ranking.Tuning.make()
+
+        def _space(self, space):
+            return rows if space == "image" else None
+
+        def _embedded(self, text, space):
+            return [1.0, 0.0] if space == "image" else None
+
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.1])], "doc_id bigint, chunk_id int, vector array<float>")
+    all_hits = Images().rank("x", None, limit=0, mode="vector")
+    assert "Limit" not in all_hits._jdf.queryExecution().analyzed().toString()
+    assert [r["doc_id"] for r in all_hits.collect()] == [1, 2]
