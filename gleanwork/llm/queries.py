@@ -7,7 +7,9 @@ from .runtime import table
 
 
 def op1_topk(spark, sf_dir):
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    """Every row whose id is divisible by 20 as a query, against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.filter("vec_id % 20 = 0"), rows)
 
 
 def op2_decontaminate(spark, sf_dir):

@@ -15,10 +15,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, but only for a driver that is its own executor: on a
+    cluster each machine would write to a disk of its own, so there the setting is required."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="gleanwork-")
@@ -26,8 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _filesystem(spark, path)
+    fs.deleteOnExit(where)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what materialize wrote for df; nothing lazy may need it any more."""
+    fs, where = _filesystem(df.sparkSession, df._scratch)
+    fs.delete(where, True)
+    fs.cancelDeleteOnExit(where)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
