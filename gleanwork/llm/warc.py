@@ -14,7 +14,7 @@ Frames above `max_record` decoded bytes are reported as errors and not held.
 attempt of a task, so a task that runs twice leaves a file that no returned row names.
 
 Defined results: null url becomes an empty header value and null html an empty body (both come back as empty strings); empty and
-very long bodies are records like others; line breaks in a url are percent-encoded; a null id has no record-id suffix and comes
+very long bodies are records like others (one above `max_record`, 1 GiB, is written but reported as an error when read); line breaks in a url are percent-encoded; a null id has no record-id suffix and comes
 back as null; repeated rows are records each; an empty table gives no archives and an empty result; other columns are not
 read. A file without a skippable frame is read without a dictionary; an empty file has no records.
 """
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .runtime import fresh_path, isolated, materialize
 
 #: Production parameters.
-LEVEL, ARCHIVE_BYTES, SPLIT_BYTES, MAX_RECORD, DICT_BYTES, DICT_SAMPLES = 3, 128 << 20, 64 << 20, 1 << 30, 64 << 10, 400
+LEVEL, ARCHIVE_BYTES, SPLIT_BYTES, MAX_RECORD, DICT_BYTES = 3, 128 << 20, 64 << 20, 1 << 30, 64 << 10
+#: The dictionary is trained on so many bodies at most, of which it sees so many characters: 6.4 MB on the driver at most (of ASCII).
+DICT_SAMPLES, SAMPLE_CHARS = 400, 16 << 10
 
 _SKIPPABLE, _FRAME, _DICT = (0x184D2A5D).to_bytes(4, "little"), (0xFD2FB528).to_bytes(4, "little"), (0xEC30A437).to_bytes(4, "little")
 _MANDATORY = ("WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length")
@@ -80,12 +82,19 @@ def archive_head(trained: bytes) -> bytes:
     return _SKIPPABLE + len(held).to_bytes(4, "little") + held
 
 
+def samples(rows: DataFrame, n: int = DICT_SAMPLES, chars: int = SAMPLE_CHARS) -> list[bytes]:
+    """The first n bodies in the order of a hash of id and uri, each up to so many characters. The hashes are picked without
+    reading a body, and a body that stands in many rows is brought together where it is read."""
+    h = F.xxhash64(F.lit("warc"), "id", "uri")
+    picked = [r[0] for r in rows.select(h.alias("h")).distinct().orderBy("h").limit(n).collect()]
+    found = rows.filter(h.isin(picked)).select(h.alias("h"), F.substring("body", 1, chars).alias("body")).filter(F.length("body") > 0)
+    return [r[1].encode() for r in sorted(found.groupBy("h").agg(F.min("body").alias("body")).collect())]
+
+
 def write(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, trained: bytes | None = None) -> DataFrame:
     """Archives of rows (id, uri, body); returns path, n_records and n_bytes of each."""
     if trained is None:
-        # a bounded sample, in the order of a hash
-        picked = rows.filter(F.length("body") > 0).select("body", F.xxhash64("id", "body").alias("h")).orderBy("h").limit(DICT_SAMPLES)
-        trained = dictionary([r[0].encode()[: 128 << 10] for r in picked.collect()])
+        trained = dictionary(samples(rows))
     head = archive_head(trained)
 
     def run(batches):
@@ -181,36 +190,53 @@ def parse(raw: bytes) -> dict:
 
 
 class _Source:
-    """A stream of known position that can be looked into ahead."""
+    """A stream of known position that can be looked into ahead. What is passed over is dropped in large pieces, not record by record."""
 
     def __init__(self, stream, at: int):
-        self.stream, self.base, self.buffer, self.ended = stream, at, b"", False
-
-    def fill(self, size: int) -> None:
-        while len(self.buffer) < size and not self.ended:
-            more = self.stream.read(max(1 << 20, size - len(self.buffer)))
-            self.ended = not more
-            self.buffer += more
+        self.stream, self.base, self.held, self.at, self.ended = stream, at, b"", 0, False
+
+    def fill(self, size: int) -> int:
+        """Looks ahead by so many bytes, or to the end; returns how many there are."""
+        if len(self.held) - self.at < size and not self.ended:
+            parts, have = [self.held[self.at :]], len(self.held) - self.at
+            while have < size and not self.ended:
+                more = self.stream.read(max(1 << 20, size - have))
+                self.ended = not more
+                parts.append(more)
+                have += len(more)
+            self.held, self.at = b"".join(parts), 0
+        return len(self.held) - self.at
+
+    def peek(self, begin: int, end: int) -> memoryview:
+        return memoryview(self.held)[self.at + begin : self.at + end]
+
+    def find(self, what: bytes) -> int:
+        found = self.held.find(what, self.at)
+        return found - self.at if found >= 0 else -1
 
     def drop(self, n: int) -> None:
-        self.buffer = self.buffer[n:]
+        self.at += n
         self.base += n
 
 
+def _decoder(trained):
+    return (zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()).decompressobj()
+
+
 def _decode(source: _Source, trained, max_record: int) -> tuple[bytes, int, str | None]:
     """The first frame's content, its length in the file, and what is wrong."""
-    decoder = zstandard.ZstdDecompressor(dict_data=trained).decompressobj() if trained else zstandard.ZstdDecompressor().decompressobj()
-    parts, held, fed, size = [], 0, 0, 1 << 16
+    decoder, parts, held, fed, size = _decoder(trained), [], 0, 0, 1 << 12
     while not decoder.eof:
         source.fill(fed + size)
-        piece = source.buffer[fed : fed + size]
-        if not piece:
+        piece = source.peek(fed, fed + size)
+        if not len(piece):
             return b"".join(parts), fed, "the frame is cut off"
         got = decoder.decompress(piece)
         fed += len(piece) - len(decoder.unused_data)
         held += len(got)
         if held <= max_record:
             parts.append(got)
+        size = min(2 * size, 1 << 20)
     if held > max_record:
         return b"", fed, f"the record is longer than {max_record} bytes"
     return b"".join(parts), fed, None
@@ -219,19 +245,18 @@ def _decode(source: _Source, trained, max_record: int) -> tuple[bytes, int, str
 def _next_frame(source: _Source, until: int, trained) -> bool:
     """Moves to the first frame that starts before `until` and decodes like a record."""
     while True:
-        source.fill(1 << 16)
-        at = source.buffer.find(_FRAME)
+        have = source.fill(1 << 16)
+        at = source.find(_FRAME)
         while at < 0 and not source.ended and source.base < until:
-            source.drop(max(0, len(source.buffer) - 3))
-            source.fill(1 << 16)
-            at = source.buffer.find(_FRAME)
+            source.drop(max(0, have - 3))
+            have = source.fill(1 << 16)
+            at = source.find(_FRAME)
         if at < 0 or source.base + at >= until:
             return False
         source.drop(at)
         source.fill(1 << 16)
-        decoder = (zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()).decompressobj()
         try:
-            if decoder.decompress(source.buffer[: 1 << 16])[:7] == b"WARC/1.":
+            if _decoder(trained).decompress(source.peek(0, 1 << 16))[:7] == b"WARC/1.":
                 return True
         except zstandard.ZstdError:
             pass
@@ -254,15 +279,14 @@ def read_range(path: str, begin: int, end: int, max_record: int = MAX_RECORD) ->
         if begin > first and not _next_frame(source, end, trained):
             return
         while source.base < end:
-            source.fill(8)
-            if not source.buffer:
+            have = source.fill(8)
+            if not have:
                 return
             where = source.base
-            magic = source.buffer[:4]
-            if len(source.buffer) >= 8 and magic[1:] == b"\x2a\x4d\x18" and magic[0] & 0xF0 == 0x50:  # any skippable frame
-                size = 8 + int.from_bytes(source.buffer[4:8], "little")
-                source.fill(size)
-                source.drop(size)
+            head = bytes(source.peek(0, 8))
+            if have >= 8 and head[1:4] == b"\x2a\x4d\x18" and head[0] & 0xF0 == 0x50:  # any skippable frame
+                size = 8 + int.from_bytes(head[4:8], "little")
+                source.drop(min(size, source.fill(size)))
                 continue
             try:
                 raw, used, wrong = _decode(source, trained, max_record)
