@@ -85,14 +85,17 @@ def schedule(docs: DataFrame, weights: dict | None = None, other: int = OTHER, p
 def mix(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mille: int = BUDGET_PER_MILLE, seed: str = SEED, budget: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The documents within the budget, all columns, range-sorted into the order of the mix.
 
-    A source's documents enter in one fixed order, so what the budget admits is a prefix of each source: the last
-    admitted entry of every source decides, and texts move once, for the final sort. Repeated rows that straddle
-    the end of a prefix are told apart by counting them.
+    A source's documents enter in one fixed order, so what the budget admits is a prefix of each source: the key of its last
+    admitted entry keeps the rest where it was read. Texts of admitted documents alone move, to meet their entries and for the final
+    sort. Repeated rows that straddle the end of a prefix are told apart by counting them.
     """
     weights = WEIGHTS if weights is None else weights
     s = materialize(_schedule(docs, weights, other, per_mille, seed, budget, slice_rows), "mix-kept")
     entry = s.groupBy("_w_id", "_w_src", "_w_n").agg(F.sort_array(F.collect_list(F.struct("_w_vft", "_w_key", "_w_cum"))).alias("_w_slots"))
-    d = docs.withColumns({"_w_tn": n_tokens(F.col("text"))})
+    # one row a source; Spark broadcasts it only below its own size limit
+    last = s.groupBy(F.col("_w_src").alias("_l_src")).agg(F.max("_w_key").alias("_l_key"))
+    d = docs.withColumns({"_w_tn": n_tokens(F.col("text")), "_w_tk": shuffle_key(F.col("doc_id"), seed)})
+    d = d.join(last, d["source"].eqNullSafe(last["_l_src"]) & (d["_w_tk"] <= last["_l_key"]), "left_semi")
     on = d["doc_id"].eqNullSafe(entry["_w_id"]) & d["source"].eqNullSafe(entry["_w_src"]) & (d["_w_tn"] == entry["_w_n"])
     joined = d.join(entry.hint("shuffle_hash"), on)
     nth = F.row_number().over(Window.partitionBy("_w_id", "_w_src", "_w_n").orderBy(F.xxhash64("text")))
