@@ -319,7 +319,7 @@ def scrub(docs: DataFrame, bench: DataFrame, n: int = N, least: int = LEAST, sha
                 sizes = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
                 for d, words in found.items():
                     texts[d] = _cut(texts[d], to_chars(texts[d], words))
-                    keep[d] = bool(WORD.search(texts[d]))
+                    keep[d] = bool(texts[d].strip())
                     if sizes:
                         sizes[d] = len(texts[d])
                 cols = [pa.array(texts, b.schema.field("text").type) if f.name == "text" else pa.array(sizes, f.type) if f.name == "n_chars" else b.column(f.name) for f in b.schema]

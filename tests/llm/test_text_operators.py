@@ -42,11 +42,10 @@ def test_spans_against_brute_force(spark, make, slice_bytes):
     for r in de.removal_spans(docs, bench, shard_words=50, slice_bytes=slice_bytes).collect():
         got.setdefault(r["doc_id"], []).append((r["span_begin"], r["span_end"], r["n_words"]))
     assert {k: sorted(v) for k, v in got.items()} == {i: s for i, t, *_ in rows if (s := spans_by_hand(t, items))}
-    if slice_bytes == de.SLICE_BYTES:
-        left = {r["doc_id"]: r["text"] for r in de.scrub(docs, bench).collect()}
-        for i, t, *_ in rows:
-            cut = de._cut(t, [s[:2] for s in spans_by_hand(t, items)])
-            assert left.get(i, cut) == cut and (i in left or not text.WORD.search(cut))
+    left = {r["doc_id"]: r["text"] for r in de.scrub(docs, bench, slice_bytes=slice_bytes).collect()}
+    for i, t, *_ in rows:
+        cut = de._cut(t, [s[:2] for s in spans_by_hand(t, items)])
+        assert left.get(i, cut) == cut and (i in left) == bool(cut.strip())
 
 
 def test_fm_index_finds_every_place():
@@ -153,7 +152,19 @@ def test_tokens_of_hard_texts():
     path = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}"
     enc = tokens.encoder(path)
     hard = ["a" * 5000, " " * 3000, "\n \n" * 900, "<|endoftext|> x", "don't we'll I'm " * 400, "東京 " * 700, "1 2 3 " * 900, "a  b\t c " * 800, "é" * 300 + " été " * 300, "!" * 4000, None, ""]
-    assert tokens.count_batch(hard, path, 700, 64) == [None if t is None else len(enc.encode_ordinary(t)) for t in hard]
+    assert tokens.count_batch(pa.array(hard), path, 700, 64).tolist() == [len(enc.encode_ordinary(t or "")) for t in hard]
+
+
+def test_pieces_are_cut_by_bytes():
+    """Every piece has the bytes asked for, in any script, and what lies beyond is no more than the way to the next safe blank."""
+    for word in ("東京都", "été", "word", "1a"):
+        raw = " ".join([word] * 3000).encode()
+        pieces = list(tokens.safe_pieces(raw, 500))
+        sizes = [len(p.encode()) for p in pieces]
+        assert "".join(pieces).encode() == raw
+        assert all(500 <= n < 500 + 2 * len(word.encode()) + 2 for n in sizes[:-1]) if word != "1a" else len(pieces) == 1
+    gap = ("字" * 5000 + " 1 " + "é" * 5000 + " x ") * 3  # safe places are windows apart
+    assert "".join(tokens.safe_pieces(gap.encode(), 64)) == gap
 
 
 def test_secrets_on_held_out_findings():
@@ -192,5 +203,8 @@ def test_scrub_cuts_the_same_whatever_the_slices(spark, make, slice_bytes):
     docs = make([(1, " ".join(["a", *w[:25], "z"]), "en", "s"), (2, " ".join([*w[40:44], *w[:20], *w[44:48]]), "en", "s")])
     left = {r["doc_id"]: r["text"].split() for r in de.scrub(docs, bench, slice_bytes=slice_bytes).collect()}
     assert left == {1: ["a", "z"], 2: w[40:48]}
+    # punctuation is text, blanks aren't
+    rest = {r["doc_id"]: r["text"] for r in de.scrub(make([(1, " ".join(w[40:48]) + " ...", "en", "s"), (2, " ".join(w[40:48]) + " \n\t", "en", "s")]), bench, slice_bytes=slice_bytes).collect()}
+    assert rest == {1: " ..."}
     spans = {r["doc_id"]: r["n_words"] for r in de.removal_spans(docs, bench, slice_bytes=slice_bytes).collect()}
     assert spans == {1: 25, 2: 20}
