@@ -69,6 +69,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.lit(7), F.col(text)).alias("_tx")]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _ki and _kt, hashes of id and text that are never null: _kt is the _tx of row_key."""
+    return docs.withColumns({"_ki": F.xxhash64(F.lit(3), F.col("doc_id")), "_kt": F.xxhash64(F.lit(7), F.col("text"))})
+
+
 def same_key(left: DataFrame, right: DataFrame):
     """Null-safe join condition on the columns of row_key."""
     return left["_id"].eqNullSafe(right["_id"]) & (left["_tx"] == right["_tx"])

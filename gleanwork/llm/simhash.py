@@ -7,18 +7,23 @@ alike; a document that would keep fewer than `few` words keeps all.
 All 192 bits are 64 positions of 3 bits, in 8 groups of 8. Two fingerprints at most `distance` bits apart share 64 - distance
 positions at least (26 for 38), whichever bits differ, so in one group a guaranteed number of positions (4 of 8). The index has a
 list for each such set of positions and their values, 560 for each fingerprint; any two within the distance meet in one. Rows are sent once for
-each possible first position of a set (40 times in all), and a task forms the lists of the sets that begin there.
+each possible first position of a set (40 times in all), and a task forms the lists of the sets that begin there. Positions of
+whole bytes would guarantee nothing: pairs 38 bits apart may differ in each of the 24.
 In each list every pair is compared over all 192 bits, so exactly the pairs within the distance are found. A list holds a 4096th
 of the corpus: the comparisons are some 14 % of all pairs and grow with the square of the number of different fingerprints.
-`matches` asks besides for so many of the first 16 bytes in common; no number above 0 is guaranteed for pairs within the distance.
 
-Documents of equal fingerprint are one node of the index, so thousands of copies don't make millions of pairs; lists are expanded
-without a cap, and each task reports spanning links of what it found, not all pairs. Groups are the connected components,
-found with large-star and small-star steps until nothing changes.
+A pair that shares several sets counts in one list only, that of the lowest positions it shares in the first group where
+they are enough, so the number of links of each document is exact. Documents of equal fingerprint are one node of the index, which
+carries their number, so thousands of copies don't make millions of pairs; nothing is capped. A first position and value that more than
+`block_rows` fingerprints have is cut into blocks of that size, and each pair of blocks is a task's work: no task holds more than two blocks,
+however many rows share a value. A task reports, for each node, the number of its links and one link towards the others it met, not all
+pairs. Groups are the connected components, found with large-star and small-star steps until nothing changes; those steps
+are minima by key and joins, so a node of very many links is no single row.
 
 Defined results: null texts and texts without words are in no group; a null doc_id is a document like others, never
 chosen over one with an id; repeated rows are copies of each other; the representative is the lowest doc_id, then text hash; an
-empty table gives an empty result; other columns pass through `keep_one`, whatever their names.
+empty table gives an empty result; other columns pass through `keep_one`, whatever their names. Nothing depends on how the input
+is partitioned.
 """
 
 from __future__ import annotations
@@ -30,18 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import isolated, materialize, row_key
+from .runtime import discard, isolated, keyed, materialize, row_key
 from .text import mix, word_hashes
 
 #: Production parameters.
-COMMON, FEW, MATCHES, DISTANCE = 5000, 8, 0, 38
+COMMON, FEW, DISTANCE = 5000, 8, 38
 _BINS = 18
-#: Rows of the index in a task, about.
-TASK_ROWS = 400_000
+#: Rows of the index that a task is given about, as long as their keys are no larger; and the most of one key in a block.
+TASK_ROWS, BLOCK_ROWS = 400_000, 1_000_000
 _GROUPS, _PLACES = 8, 8
 #: Pairs held before they are reduced to spanning links.
 _HELD = 1 << 20
 _LANE = np.uint64(0x0101010101010101)
+_NODE = "struct<a:bigint,b:bigint,c:bigint>"
 
 
 def _bin(h: np.ndarray) -> np.ndarray:
@@ -49,23 +55,22 @@ def _bin(h: np.ndarray) -> np.ndarray:
 
 
 def common_bins(docs: DataFrame, common: int = COMMON) -> np.ndarray:
-    """Flags of the word bins that hold more than 1 / common of all words. A task reports bins above a tenth of that among its own
-    words, so counts are low by less than a tenth of the limit; the rows are at most 10 * common a task, the answer common in all."""
+    """Flags of the word bins that hold more than 1 / common of all words, at most `common` of them. Every task sends the sums of
+    its own bins, 2**18 at most, so the counts are exact however the documents are partitioned."""
 
     def run(batches):
         counts = np.zeros(1 << _BINS, np.int64)
         for b in batches:
             h, _ = word_hashes(b.column("text"))
             counts += np.bincount(_bin(h), minlength=1 << _BINS)
-        at = np.flatnonzero(counts * 10 * common > counts.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], counts.sum()))], ["bin", "n"])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bin", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("bin") == -1, F.col("n")))
+    sums = materialize(docs.select("text").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")), "simhash-bins")
+    limit = (sums.agg(F.sum("n").alias("t")).first()["t"] or 0) / common
     flags = np.zeros(1 << _BINS, bool)
-    sums = materialize(sums, "simhash-bins")
-    limit = (sums.agg(total.alias("t")).first()["t"] or 0) / common
-    flags[[r[0] for r in sums.filter((F.col("bin") >= 0) & (F.col("n") > limit)).select("bin").collect()]] = True
+    flags[[r[0] for r in sums.filter(F.col("n") > limit).select("bin").collect()]] = True
+    discard(sums)
     return flags
 
 
@@ -140,18 +145,39 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(key: int, f: np.ndarray, matches: int, distance: int) -> np.ndarray:
-    """Rows that have one key: lowest row of each row's component by the pairs that share a set which begins there and are within the distance."""
+def _group_values(f: np.ndarray) -> np.ndarray:
+    """The 24 bits of each group: rows, groups."""
+    data = np.ascontiguousarray(f).view(np.uint8).reshape(len(f), _GROUPS, 3).astype(np.uint32)
+    return data[..., 0] << 16 | data[..., 1] << 8 | data[..., 2]
+
+
+def _counts_here(x: np.ndarray, group: int, chosen: int, shared: int) -> np.ndarray:
+    """Whether pairs count in the list of one set: no earlier group shares enough positions, and the set is the lowest ones shared. x: the
+    group values' differences; chosen: the set as bits at the places of its positions."""
+    apart = (x | x >> np.uint32(1) | x >> np.uint32(2)) & np.uint32(0o11111111)
+    enough = np.bitwise_count(apart) <= _PLACES - shared
+    here = ~enough[:, :group].any(1)
+    # positions stand from the top; those shared above the lowest of the set have to be those of the set
+    low = chosen & -chosen
+    own = ~apart[:, group] & np.uint32(0o11111111 & ~(low - 1))
+    return here & (own == chosen)
+
+
+def _links(key: int, f: np.ndarray, weight: np.ndarray, side: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have one key: lowest row of each row's component, and the weight of its links, by the pairs within the distance
+    that count in a list of a set which begins there. side: with two blocks, pairs within one count elsewhere."""
     shared = shared_in_group(distance)
     group, first = divmod(key // 8, _PLACES - shared + 1)
-    places = _places(f, slice(group, group + 1))[:, 0].astype(np.int64)
-    root, left, right, held = np.arange(len(f)), [], [], 0
+    values = _group_values(f)
+    places = _places(f, slice(group, group + 1))[:, 0]
+    root, links, left, right, held = np.arange(len(f)), np.zeros(len(f), np.int64), [], [], 0
 
     def reduced() -> np.ndarray:
         moved = np.flatnonzero(root != np.arange(len(f)))
         return _spanning(len(f), np.concatenate([moved, *left]), np.concatenate([root[moved], *right]))
 
     for rest in combinations(range(first + 1, _PLACES), shared - 1):
+        chosen = sum(1 << 3 * (_PLACES - 1 - p) for p in (first, *rest))
         value = np.zeros(len(f), np.int64)
         for p in rest:
             value = value << 3 | places[:, p]
@@ -176,57 +202,84 @@ def _links(key: int, f: np.ndarray, matches: int, distance: int) -> np.ndarray:
                 if len(near):
                     near = near[(value[i][near] == value[j][near]) & (apart[near] + np.bitwise_count(g[2, i][near] ^ g[2, j][near]) <= distance)]
                     a, b = order[i][near], order[j][near]
-                    if matches:
-                        enough = (f[a, :2].view(np.uint8) == f[b, :2].view(np.uint8)).sum(1) >= matches
-                        a, b = a[enough], b[enough]
+                    counts = _counts_here(values[a] ^ values[b], group, chosen, shared)
+                    if side is not None:
+                        counts &= side[a] != side[b]
+                    a, b = a[counts], b[counts]
+                    np.add.at(links, a, weight[b])
+                    np.add.at(links, b, weight[a])
                     left.append(a)
                     right.append(b)
                     held += len(a)
             if held > _HELD:
                 root, left, right, held = reduced(), [], [], 0
-        if left:
-            root, left, right, held = reduced(), [], [], 0
-    return root
+    return (reduced() if left else root), links
 
 
-def _search(batches, matches: int, distance: int):
-    parts = [(b.column("key").to_numpy(), np.stack([b.column(c).to_numpy() for c in ("f1", "f2", "f3")], 1).view(np.uint64)) for b in batches if b.num_rows]
-    if not parts:
+def _search(batches, distance: int):
+    """Each node that has a link here: u, a node v it is linked to (itself, if it is the lowest of those), and the weight of its links."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    key, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    del parts
-    order = np.argsort(key, kind="stable")
-    ends = np.flatnonzero(np.diff(key[order])) + 1
-    for rows in np.split(order, ends):
+    list_, side, weight = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("list", "side", "weight"))
+    f = np.concatenate([np.stack([b.column(c).to_numpy() for c in ("f1", "f2", "f3")], 1).view(np.uint64) for b in held])
+    del held
+    order = np.argsort(list_, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(list_[order])) + 1):
+        key, two = divmod(int(list_[rows[0]]), 2)
         nodes = f[rows]
-        root = _links(int(key[rows[0]]), nodes, matches, distance)
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        u, v = nodes[moved].view(np.int64), nodes[root[moved]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (u[:, 0], u[:, 1], v[:, 0], v[:, 1])], ["u1", "u2", "v1", "v2"])
+        root, links = _links(key & 0xFFFF, nodes, weight[rows], side[rows] if two else None, distance)
+        at = np.flatnonzero(links)
+        u, v = nodes[at].view(np.int64), nodes[root[at]].view(np.int64)
+        as_node = lambda x: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["a", "b", "c"])
+        yield pa.RecordBatch.from_arrays([as_node(u), as_node(v), pa.array(links[at])], ["u", "v", "n"])
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """u and its component's lowest node v, for every node that isn't the lowest of its own."""
+    """u and its component's lowest node v, for every node that isn't the lowest of its own. links: pairs u, v in any order."""
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        out = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return out.distinct()
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.collect_set("v").alias("all")).withColumn("m", F.least(F.array_min("all"), F.col("u")))
-        out = low.select("u", "m", F.explode(F.array_union("all", F.array("u"))).alias("w"))
-        out = out.filter(F.col("w") > F.col("u")) if large else out.filter(F.col("w") <= F.col("u"))
-        return out.filter(F.col("w") != F.col("m")).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+    def small(e: DataFrame) -> DataFrame:
+        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        out = down.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return out.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
-    e = materialize(links.select(F.struct(F.col("u1").alias("a"), F.col("u2").alias("b")).alias("u"), F.struct(F.col("v1").alias("a"), F.col("v2").alias("b")).alias("v")).distinct(), "simhash-links")
+    e = materialize(links.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "simhash-links")
     sign = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             return e
-        sign = now
-        e = materialize(star(star(e, True), False), "simhash-links")
-
-
-def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, matches: int = MATCHES, distance: int = DISTANCE, task_rows: int = TASK_ROWS) -> DataFrame:
-    """_id, _tx, number of such rows, and the key (_gi, _gt) and size of the group, for every document in a group of two or more rows."""
+        old, sign = e, now
+        e = materialize(small(large(e)), "simhash-links")
+        discard(old)
+
+
+def _tasks(sizes: dict[int, int], task_rows: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of each key, where each key's pairs of blocks begin in the third, and the task of each pair; small keys share one."""
+    blocks, base = np.zeros((2, max(sizes, default=0) + 1), np.int64)
+    out, task, held = [], 0, 0
+    for key, n in sorted(sizes.items()):
+        blocks[key], base[key] = -(-n // block_rows), len(out)
+        for i in range(blocks[key]):
+            for j in range(i, blocks[key]):
+                rows = n // int(blocks[key]) * (1 + (i < j))
+                if held and held + rows > task_rows:
+                    task, held = task + 1, 0
+                out.append(task)
+                held += rows
+    return blocks, base, np.array(out or [0], np.int32)
+
+
+def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, distance: int = DISTANCE, task_rows: int = TASK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """_id, _tx, number of such rows, the key (_gi, _gt) and size of the group, and the number of links of each such row, for every
+    document in a group of two or more rows."""
     shared = shared_in_group(distance)
     flags = common_bins(docs, common)
 
@@ -240,33 +293,64 @@ def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, matches: int =
     kind = source.schema["_id"].dataType.simpleString()
     prints = source.mapInArrow(run, f"_id {kind}, _tx bigint, f1 bigint, f2 bigint, f3 bigint, have boolean").filter("have").drop("have")
     prints = materialize(prints, "simhash-prints")
-    nodes = materialize(prints.select("f1", "f2", "f3").distinct(), "simhash-nodes")
+    nodes = materialize(prints.groupBy("f1", "f2", "f3").agg(F.count("*").alias("weight")), "simhash-nodes")
+
+    def keys_here(b) -> tuple[np.ndarray, np.ndarray]:
+        f = np.stack([b.column(c).to_numpy() for c in ("f1", "f2", "f3")], 1).view(np.uint64)
+        return f, keys_of(f, shared)
+
+    def count(batches):
+        total = np.zeros(_GROUPS * (_PLACES - shared + 1) * 8, np.int64)
+        for b in batches:
+            total += np.bincount(keys_here(b)[1].reshape(-1), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["key", "n"])
+
+    # a few hundred keys, whatever the corpus
+    sizes = {r[0]: r[1] for r in nodes.select("f1", "f2", "f3").mapInArrow(count, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").collect()}
+    rows = -(-sum(sizes.values()) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks, base, tasks = _tasks(sizes, max(1, min(task_rows, rows)), block_rows)
 
     def index(batches):
         for b in batches:
-            f = np.stack([b.column(c).to_numpy() for c in ("f1", "f2", "f3")], 1)
-            keys = keys_of(f.view(np.uint64), shared)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))), b.column("f1"), b.column("f2"), b.column("f3")], ["keys", "f1", "f2", "f3"])
-
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * _GROUPS * (_PLACES - shared + 1) // task_rows))
-    rows = nodes.mapInArrow(index, "keys array<int>, f1 bigint, f2 bigint, f3 bigint").select(F.explode("keys").alias("key"), "f1", "f2", "f3")
-    found = rows.repartition(tasks, "key").mapInArrow(lambda it: _search(it, matches, distance), "u1 bigint, u2 bigint, v1 bigint, v2 bigint")
-    comp = _components(found).select(F.col("u.a").alias("c1"), F.col("u.b").alias("c2"), F.col("v").alias("_root"))
-    own = F.struct(F.col("f1").alias("a"), F.col("f2").alias("b"))
-    keyed = prints.groupBy("_id", "_tx", "f1", "f2").agg(F.count("*").alias("_rows"))
-    keyed = keyed.join(comp, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left").withColumn("_root", F.coalesce("_root", own))
-    w = Window.partitionBy("_root")
-    lead = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_tx").alias("t"))).over(w)
-    out = keyed.select("_id", "_tx", "_rows", lead.alias("_lead"), F.sum("_rows").over(w).alias("_size")).filter("_size > 1")
-    return out.select("_id", "_tx", "_rows", F.col("_lead.i").alias("_gi"), F.col("_lead.t").alias("_gt"), "_size")
+            f, keys = keys_here(b)
+            row, key = np.repeat(np.arange(len(f)), keys.shape[1]), keys.reshape(-1).astype(np.int64)
+            some = key < len(blocks)
+            row, key = row[some], key[some]
+            of = blocks[key]
+            row, key, of = row[of > 0], key[of > 0], of[of > 0]
+            own = ((mix(f[row, 0] ^ mix(f[row, 1])) >> np.uint64(1)) % of.astype(np.uint64)).astype(np.int64)
+            again = np.repeat(np.arange(len(row)), of)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(of) - of, of)
+            row, key, own, of = row[again], key[again], own[again], of[again]
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            task = tasks[base[key] + low * of - low * (low - 1) // 2 + high - low]
+            # a list is named by its blocks, its key, and whether the blocks are two
+            name = ((low << 20 | high) << 16 | key) << 1 | (low < high)
+            out = b.select(["f1", "f2", "f3", "weight"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(name), pa.array(own == low), *out.columns], ["task", "list", "side", "f1", "f2", "f3", "weight"])
+
+    rows = nodes.mapInArrow(index, "task int, list bigint, side boolean, f1 bigint, f2 bigint, f3 bigint, weight bigint")
+    found = rows.repartitionById(int(tasks[-1]) + 1, F.col("task")).drop("task").mapInArrow(lambda it: _search(it, distance), f"u {_NODE}, v {_NODE}, n bigint")
+    found = materialize(found, "simhash-found")
+    degree = found.groupBy("u").agg(F.sum("n").alias("_links"))
+    comp = _components(found).select("u", F.col("v").alias("_root"))
+    print_ = F.struct(F.col("f1").alias("a"), F.col("f2").alias("b"), F.col("f3").alias("c"))
+    keyed_ = prints.groupBy("_id", "_tx", print_.alias("u")).agg(F.count("*").alias("_rows"))
+    # nodes with a link or of several rows; of the rest nothing is in a group
+    known = nodes.select(print_.alias("u"), "weight").join(degree, "u", "left").filter((F.col("weight") > 1) | F.col("_links").isNotNull())
+    known = known.join(comp, "u", "left").select("u", F.coalesce("_root", "u").alias("_root"), (F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).alias("_links"))
+    keyed_ = materialize(keyed_.join(known, "u"), "simhash-grouped")
+    lead = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_tx").alias("t")))
+    every = keyed_.groupBy("_root").agg(lead.alias("_lead"), F.sum("_rows").alias("_size"))
+    return keyed_.join(every, "_root").select("_id", "_tx", "_rows", F.col("_lead.i").alias("_gi"), F.col("_lead.t").alias("_gt"), "_size", "_links")
 
 
 @isolated
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, group_id (the representative's doc_id) and group_size, one row for each document in a group."""
+    """doc_id, group_id (the representative's doc_id), group_size and n_links (other documents within the distance), one row for each document in a group."""
     g = groups(docs, **parameters)
-    g = g.select("_id", "_gi", "_size", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_k"))
-    return g.select(F.col("_id").alias("doc_id"), F.col("_gi").alias("group_id"), F.col("_size").alias("group_size"))
+    g = g.select("_id", "_gi", "_size", "_links", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_k"))
+    return g.select(F.col("_id").alias("doc_id"), F.col("_gi").alias("group_id"), F.col("_size").alias("group_size"), F.col("_links").alias("n_links"))
 
 
 @isolated
@@ -274,9 +358,10 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that have a better representative of their group."""
     g = groups(docs, **parameters)
     lead = F.col("_id").eqNullSafe(F.col("_gi")) & (F.col("_tx") == F.col("_gt"))
-    g = g.select(F.col("_id").alias("_xi"), F.col("_tx").alias("_xt"), (~lead).alias("_other"))
-    d = docs.withColumns({"_ki": F.col("doc_id"), "_kt": F.xxhash64(F.lit(7), F.col("text"))})
-    d = d.join(g, d["_ki"].eqNullSafe(g["_xi"]) & (d["_kt"] == g["_xt"]), "left").filter(~F.coalesce("_other", F.lit(False)))
+    g = g.select(F.xxhash64(F.lit(3), "_id").alias("_xi"), F.col("_tx").alias("_xt"), (~lead).alias("_other"))
+    d = keyed(docs)
+    # the join and the window have the same keys, none of them null, so texts move once
+    d = d.join(g, (d["_ki"] == g["_xi"]) & (d["_kt"] == g["_xt"]), "left").filter(~F.coalesce("_other", F.lit(False)))
     d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_ki", "_kt").orderBy("_ki")))
     # of repeated rows one stays; rows in no group (without words) all stay
     return d.filter(F.col("_other").isNull() | (F.col("_nth") == 1)).select(*docs.columns)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from gleanwork.llm import linededup, simhash
-from gleanwork.llm.text import WORD
+from gleanwork.llm.text import WORD, hash_of
 
 
 def lines_by_hand(rows, least):
@@ -81,8 +81,8 @@ def test_groups_equal_brute_force_over_fingerprints(make):
     flags = simhash.common_bins(docs)
     f, have = simhash.fingerprints(pa.array([r[1] for r in rows]), flags)
     assert have.all()
-    bytes_ = np.ascontiguousarray(f[:, :2]).view(np.uint8)
     label = list(range(len(rows)))
+    links = [0] * len(rows)
 
     def find(x):
         while label[x] != x:
@@ -91,13 +91,57 @@ def test_groups_equal_brute_force_over_fingerprints(make):
 
     for a in range(len(rows)):
         for b in range(a):
-            if np.bitwise_count(f[a] ^ f[b]).sum() <= simhash.DISTANCE and (bytes_[a] == bytes_[b]).sum() >= simhash.MATCHES:
+            if np.bitwise_count(f[a] ^ f[b]).sum() <= simhash.DISTANCE:
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
+                links[a] += 1
+                links[b] += 1
     size = Counter(find(k) for k in range(len(rows)))
-    want = {k: (find(k), size[find(k)]) for k in range(len(rows)) if size[find(k)] > 1}
-    assert {r["doc_id"]: (r["group_id"], r["group_size"]) for r in simhash.near_duplicates(docs).collect()} == want
+    want = {k: (find(k), size[find(k)], links[k]) for k in range(len(rows)) if size[find(k)] > 1}
+    read = lambda df: {r["doc_id"]: (r["group_id"], r["group_size"], r["n_links"]) for r in df.collect()}
+    assert read(simhash.near_duplicates(docs)) == want
     assert simhash.keep_one(docs).count() == len(size)
+    # neither the partitions of the input nor the blocks matter
+    assert read(simhash.near_duplicates(docs.repartition(50))) == want == read(simhash.near_duplicates(docs.coalesce(1), block_rows=7, task_rows=5))
+
+
+def fingerprint_by_hand(text, common, few=simhash.FEW):
+    """A SimHash written out: for each of 192 bits, the majority of the words' hash bits."""
+    hashes = [hash_of(m.group().lower()) for m in WORD.finditer(text)]
+    rare = [h for h in hashes if not common[h >> (64 - simhash._BINS)]]
+    hashes = rare if len(rare) >= few else hashes
+    bits = []
+    for _ in range(3):
+        for byte in range(8):
+            for bit in range(8):
+                bits.append(2 * sum(h >> (8 * byte + bit) & 1 for h in hashes) > len(hashes))
+        hashes = [splitmix(h + 0x9E3779B97F4A7C15) for h in hashes]
+    return bits
+
+
+def splitmix(h):
+    m = (1 << 64) - 1
+    h &= m
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def test_fingerprints_against_a_naive_simhash(spark, sf):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + ["one", "", "x " * 700]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    counts = Counter()
+    for t in texts:
+        counts.update(hash_of(m.group().lower()) >> (64 - simhash._BINS) for m in WORD.finditer(t))
+    total = sum(counts.values())
+    flags = simhash.common_bins(docs.repartition(7), 300)
+    assert set(np.flatnonzero(flags)) == {b for b, n in counts.items() if n > total / 300}
+    f, _ = simhash.fingerprints(pa.array(texts), flags)
+    for k, t in enumerate(texts):
+        if WORD.search(t):
+            # packed with the bits of each byte apart, the lowest first
+            got = np.unpackbits(f[k].view(np.uint8)).reshape(3, 8, 8).transpose(0, 2, 1)
+            assert (got == np.array(fingerprint_by_hand(t, flags)).reshape(3, 8, 8)).all()
 
 
 def test_all_pairs_within_the_distance_are_found_by_band(make):
@@ -121,7 +165,7 @@ def test_all_pairs_within_the_distance_are_found_by_band(make):
 
 
 @pytest.mark.parametrize("distance", [0, 10, 31, 38, 45])
-def test_index_meets_every_pair_within_the_distance(distance):
+def test_every_pair_within_the_distance_counts_once(distance):
     rng = np.random.default_rng(distance)
     shared = simhash.shared_in_group(distance)
     f = rng.integers(0, 256, (200, 24), dtype=np.uint8)
@@ -131,5 +175,7 @@ def test_index_meets_every_pair_within_the_distance(distance):
     a, b = f.view(np.uint64), np.packbits(bits, axis=1).view(np.uint64)
     same = simhash.keys_of(a, shared) == simhash.keys_of(b, shared)
     keys = simhash.keys_of(a, shared)
+    one = np.ones(2, np.int64)
     for k in range(200):
-        assert any(simhash._links(int(key), np.stack([a[k], b[k]]), 0, distance)[1] == 0 for key in keys[k][same[k]])
+        found = [simhash._links(int(key), np.stack([a[k], b[k]]), one, None, distance) for key in keys[k][same[k]]]
+        assert sum(links[0] for _, links in found) == 1 and any(root[1] == 0 for root, _ in found)
