@@ -1,110 +1,177 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The corpus comes in batches, ranges of doc_id in ascending order. Each batch's lines are hashed (128 bits), marked where they
-occur before in the batch, and merge-anti-joined with every run; hashes found nowhere become a new run. Runs are tables
-bucketed and sorted by the hash with as many buckets as the session has shuffle partitions, so neither the anti-joins nor the
-compactions shuffle a run again. As soon as a level holds `fanout` runs they are merged into one run of the next level.
-
-Kept is the first occurrence of a line in the order of doc_id (null first), text hash and line number. Lines shorter than
+A `LineStore` is a folder of runs and a manifest that names them; it outlives the job, so a later batch can be added. A run holds the
+hashes (128 bits) of lines seen and where each stood first; every hash is in one run only. Runs are bucketed and sorted by
+the hash, with as many buckets as the session that wrote them had shuffle partitions, so they are joined and merged without being shuffled or
+sorted again. A new batch's lines are reduced to the first place of each hash (a minimum, combined before it is shuffled, however
+often a line occurs), merge-anti-joined with every run, and what is left becomes a run of level 0. As soon as a level holds
+`fanout` runs they are merged into one of the next level.
+
+`dedup_lines` takes a table as `batches` batches, ranges of doc_id in ascending order, through a store of its own. Kept is the first
+occurrence of a line in the order of doc_id (null first), text hash and line number. Lines shorter than
 `min_chars` without outer blanks are never touched.
 
 Defined results: null and empty texts stay; of repeated rows (same id and text) one keeps its lines and the others lose
 all of at least min_chars; a document that had text and is left with blanks only goes; an empty table gives an empty
-result; other columns pass through, whatever their names; `n_chars`, if there, is brought up to date.
+result; ids may be of any type that has an order; other columns pass through, whatever their names; `n_chars`, if there, is brought up to date.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import fresh_path, isolated, row_key
+from .runtime import filesystem, fresh_path, isolated, keyed
 
 #: Production parameters.
 MIN_CHARS, BATCHES, FANOUT = 20, 4, 2
+#: Ids, the first by a hash, that the batches' bounds are taken from; results don't depend on them.
+CUT_ROWS = 1000
 _H = ("_h1", "_h2")
+_RUN = "_h1 bigint, _h2 bigint, _ki bigint, _kt bigint, _n int"
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """_id, _tx, line number and hash of every line that counts."""
-    out = docs.filter(F.col("text").isNotNull()).select(*row_key(), F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
+    """Document, line number and hash of every line that counts."""
+    out = keyed(docs.filter(F.col("text").isNotNull())).select(F.col("doc_id").alias("_id"), "_ki", "_kt", F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
     out = out.withColumn("_line", F.trim("_line")).filter(F.length("_line") >= min_chars)
-    return out.select("_id", "_tx", "_n", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), "_line").alias("_h2"))
-
-
-def _bucketed(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed and sorted by the hash."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"gleanwork_{name}_{uuid.uuid4().hex}"
-    df.write.option("path", fresh_path(spark, name)).bucketBy(n, *_H).sortBy(*_H).format("parquet").saveAsTable(table)
-    return spark.table(table)
-
-
-class Runs:
-    """The levels of runs; each run holds the hashes of lines seen, every hash in one run only."""
-
-    def __init__(self, fanout: int):
-        self.fanout, self.levels = fanout, []
-
-    def all(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def add(self, run: DataFrame, last: bool) -> None:
-        """last: no batch follows, so nothing is compacted any more."""
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(run)
-        k = 0
-        while not last and len(self.levels[k]) >= self.fanout:
-            merged = _bucketed(reduce(DataFrame.unionByName, self.levels[k]), f"level{k + 1}")
-            self.levels[k] = []
-            k += 1
-            if k == len(self.levels):
-                self.levels.append([])
-            self.levels[k].append(merged)
-
-
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """_id, _tx and _n of every line that occurs before."""
+    return out.select("_id", "_ki", "_kt", "_n", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), "_line").alias("_h2"))
+
+
+class LineStore:
+    """Runs in a folder that all executors share. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        self.version, self.runs = 0, []
+        self._frames: dict[str, DataFrame] = {}
+        fs, where = filesystem(spark, self.folder)
+        if fs.exists(where):
+            names = sorted((f.getPath().getName() for f in fs.listStatus(where)), reverse=True)
+            for name in (n for n in names if n.startswith("manifest-")):
+                try:
+                    held = json.loads(self._text(name))
+                except ValueError:  # the write of this version broke off
+                    continue
+                self.version, self.runs = held["version"], held["runs"]
+                break
+
+    def _text(self, name: str) -> str:
+        fs, where = filesystem(self.spark, f"{self.folder}/{name}")
+        stream = fs.open(where)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _commit(self, runs: list[dict]) -> None:
+        """A new version of the manifest; readers see the old one or the new one."""
+        name = f"manifest-{self.version + 1:08d}.json"
+        fs, where = filesystem(self.spark, f"{self.folder}/{name}")
+        stream = fs.create(where, True)
+        stream.write(bytearray(json.dumps({"version": self.version + 1, "runs": runs}).encode()))
+        stream.close()
+        gone = [r["path"] for r in self.runs if r not in runs]
+        self.version, self.runs = self.version + 1, runs
+        for path in gone:
+            self._frames.pop(path, None)
+            fs.delete(filesystem(self.spark, path)[1], True)
+
+    def _write(self, df: DataFrame, level: int) -> dict:
+        """df as a run; the catalogue knows its buckets only while it is written and opened."""
+        n, path, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.folder}/run-{uuid.uuid4().hex}", f"gleanwork_run_{uuid.uuid4().hex}"
+        df.write.option("path", path).bucketBy(n, *_H).sortBy(*_H).format("parquet").saveAsTable(name)
+        self._frames[path] = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return {"path": path, "level": level, "buckets": n}
+
+    def frame(self, run: dict) -> DataFrame:
+        if run["path"] not in self._frames:
+            name = f"gleanwork_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({_RUN}) USING parquet CLUSTERED BY ({', '.join(_H)}) SORTED BY ({', '.join(_H)}) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
+            self._frames[run["path"]] = self.spark.table(name)
+            self.spark.sql(f"DROP TABLE {name}")
+        return self._frames[run["path"]]
+
+    def compact(self) -> None:
+        """Merges the runs of every level that is full; runs share no hash, so a full outer merge join is their union, bucket by bucket."""
+        while True:
+            levels = [r["level"] for r in self.runs]
+            full = min((k for k in levels if levels.count(k) >= self.fanout), default=None)
+            if full is None:
+                return
+            merged = None
+            for r in (r for r in self.runs if r["level"] == full):
+                b = self.frame(r)
+                if merged is None:
+                    merged = b
+                else:
+                    b = b.select(*_H, *(F.col(c).alias(f"b{c}") for c in ("_ki", "_kt", "_n")))
+                    merged = merged.join(b.hint("merge"), list(_H), "full_outer").select(*_H, *(F.coalesce(c, f"b{c}").alias(c) for c in ("_ki", "_kt", "_n")))
+            self._commit([*(r for r in self.runs if r["level"] != full), self._write(merged, full + 1)])
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Adds a batch of lines; returns the places (_ki, _kt, _n) of those that no run held, to be read before the next batch comes."""
+        self.compact()
+        place = F.min(F.struct(F.col("_id").isNotNull().alias("o"), "_id", "_kt", "_n", "_ki")).alias("p")
+        new = lines.groupBy(*_H).agg(place).select(*_H, "p._ki", "p._kt", "p._n")
+        for r in self.runs:
+            new = new.join(self.frame(r).select(*_H).hint("merge"), list(_H), "left_anti")
+        run = self._write(new, 0)
+        self._commit([*self.runs, run])
+        return self.frame(run).select("_ki", "_kt", "_n")
+
+    def places(self) -> DataFrame:
+        """Where every line seen stood first."""
+        rows = [self.frame(r).select("_ki", "_kt", "_n") for r in self.runs]
+        return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], "_ki bigint, _kt bigint, _n int")
+
+
+def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """_ki, _kt and _n of every line that counts and occurs for the first time."""
+    spark = docs.sparkSession
     lines = _lines(docs, min_chars)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("c")).first()["c"] or [] if batches > 1 else []
+    cuts = []
+    if batches > 1:
+        ids = sorted(r[0] for r in docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(CUT_ROWS).collect())
+        cuts = [ids[k * len(ids) // batches] for k in range(1, batches)] if ids else []
     batch = reduce(lambda c, cut: c + F.coalesce((F.col("_id") > F.lit(cut)).cast("int"), F.lit(0)), cuts, F.lit(0))
-    path = fresh_path(docs.sparkSession, "lines")
+    path = fresh_path(spark, "lines")
     lines.withColumn("_batch", batch).write.partitionBy("_batch").parquet(path)
-    lines = docs.sparkSession.read.schema(T.StructType([*lines.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(path)
-    runs, found = Runs(fanout), []
+    lines = spark.read.schema(T.StructType([*lines.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(path)
+    store = LineStore(spark, fresh_path(spark, "runs"), fanout)
     for b in range(len(cuts) + 1):
-        rank = F.dense_rank().over(Window.partitionBy(*_H).orderBy("_id", "_tx", "_n"))
-        marked = lines.filter(F.col("_batch") == b).drop("_batch").withColumn("_dup", rank > 1)
-        for r in runs.all():
-            marked = marked.join(r.withColumn("_seen", F.lit(True)).hint("merge"), list(_H), "left")
-            marked = marked.withColumn("_dup", F.col("_dup") | F.coalesce("_seen", F.lit(False))).drop("_seen")
-        marked = _bucketed(marked.select(*_H, "_id", "_tx", "_n", "_dup"), f"batch{b}")
-        # repeated rows give the same first occurrence several times, side by side
-        runs.add(marked.filter(~F.col("_dup")).select(*_H).dropDuplicates(list(_H)), b == len(cuts))
-        found.append(marked.filter("_dup").select("_id", "_tx", "_n"))
-    return reduce(DataFrame.unionByName, found)
+        store.add(lines.filter(F.col("_batch") == b).drop("_batch"))
+    fs, where = filesystem(spark, path)
+    fs.delete(where, True)
+    return store.places()
 
 
 @isolated
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The documents without their duplicate lines."""
-    gone = duplicate_lines(docs, min_chars, batches, fanout).groupBy("_id", "_tx").agg(F.sort_array(F.collect_set("_n")).alias("_gone"))
-    gone = gone.select(F.col("_id").alias("_gi"), F.col("_tx").alias("_gt"), "_gone")
-    d = docs.withColumns({"_ki": F.col("doc_id"), "_kt": F.xxhash64(F.lit(7), F.col("text"))})
-    d = d.join(gone, d["_ki"].eqNullSafe(gone["_gi"]) & (d["_kt"] == gone["_gt"]), "left")
+    stay = first_lines(docs, min_chars, batches, fanout).groupBy(F.col("_ki").alias("_si"), F.col("_kt").alias("_st")).agg(F.sort_array(F.collect_list("_n")).alias("_stay"))
+    # the join and the window have the same keys, none of them null, so texts move once
+    d = keyed(docs)
+    d = d.join(stay, (d["_ki"] == stay["_si"]) & (d["_kt"] == stay["_st"]), "left")
     d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_ki", "_kt").orderBy("_ki")))
     lines = F.split("text", "\n")
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_gone", k - 1))
-    mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone") - 1), lambda k: F.concat(F.array_repeat(F.lit(True), F.get("_gone", k) - before(k) - 1), F.array(F.lit(False)))))
-    kept = F.filter(F.zip_with(lines, mask, lambda x, m: F.struct(x.alias("x"), F.coalesce(m, F.lit(True)).alias("m"))), lambda z: z["m"])
-    short = F.filter(lines, lambda x: F.length(F.trim(x)) < min_chars)
-    new = F.when(F.col("_nth") > 1, F.array_join(short, "\n")).when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
+    long = lambda x: F.length(F.trim(x)) >= min_chars
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_stay", k - 1))
+    mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_stay") - 1), lambda k: F.concat(F.array_repeat(F.lit(False), F.get("_stay", k) - before(k) - 1), F.array(F.lit(True)))))
+    kept = F.filter(F.zip_with(lines, mask, lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda z: F.coalesce(z["m"], F.lit(False)) | ~long(z["x"]))
+    short = F.array_join(F.filter(lines, lambda x: ~long(x)), "\n")
+    new = (
+        F.when(F.col("text").isNull(), F.col("text"))
+        .when((F.col("_nth") > 1) | F.col("_stay").isNull(), short)
+        .when(F.size("_stay") == F.size(F.filter(lines, long)), F.col("text"))
+        .otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
+    )
     blank = lambda c: F.translate(c, " \t\r\n", "") == ""
     d = d.withColumn("_new", new).filter(F.col("text").isNull() | blank(F.col("text")) | ~blank(F.col("_new")))
     sizes = {"n_chars": F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}

@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
@@ -38,7 +38,7 @@ def _filesystem(spark: SparkSession, path: str):
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the application ends, if not before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, where = _filesystem(spark, path)
+    fs, where = filesystem(spark, path)
     fs.deleteOnExit(where)
     return path
 
@@ -55,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes what materialize wrote for df; nothing lazy may need it any more."""
-    fs, where = _filesystem(df.sparkSession, df._scratch)
+    fs, where = filesystem(df.sparkSession, df._scratch)
     fs.delete(where, True)
     fs.cancelDeleteOnExit(where)
 
@@ -74,11 +74,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_ki": F.xxhash64(F.lit(3), F.col("doc_id")), "_kt": F.xxhash64(F.lit(7), F.col("text"))})
 
 
-def same_key(left: DataFrame, right: DataFrame):
-    """Null-safe join condition on the columns of row_key."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_tx"] == right["_tx"])
-
-
 #: Columns that operators use by name.
 _KNOWN = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "item_id", "vec_id", "embedding", "page_id", "url", "html")
 

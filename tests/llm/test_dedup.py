@@ -38,6 +38,35 @@ def test_lines_against_brute_force(make, batches, fanout):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
 
 
+def test_a_store_outlives_the_call(make, spark, tmp_path):
+    """Batches added by different stores over one folder, through compactions; the catalogue is left as it was."""
+    line = "a line that is long enough, number {}".format
+    batches = [[(10 * b + k, "\n".join(line(x) for x in range(b * 2 + k, b * 2 + k + 5)), "en", "s") for k in range(4)] for b in range(6)]
+    before, seen = {t.name for t in spark.catalog.listTables()}, set()
+    for rows in batches:
+        store = linededup.LineStore(spark, f"file://{tmp_path}/store", fanout=2)
+        docs = make(rows)
+        places = store.add(linededup._lines(docs, linededup.MIN_CHARS))
+        got = places.join(linededup.keyed(docs), ["_ki", "_kt"]).selectExpr("doc_id", "split(text, '\n')[_n] AS line").collect()
+        want = []
+        for i, t, *_ in rows:
+            for x in t.split("\n"):
+                if x not in seen:
+                    seen.add(x)
+                    want.append((i, x))
+        assert sorted(map(tuple, got)) == sorted(want)
+    store = linededup.LineStore(spark, f"file://{tmp_path}/store")
+    assert store.places().count() == len(seen) and sorted(r["level"] for r in store.runs) == [0, 0, 2]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_ids_of_any_type(spark):
+    lines = ["the first of all lines here", "the second of all lines here"]
+    rows = [("b", lines[0]), ("a", lines[0] + "\n" + lines[1]), ("ä", lines[1] + "\nshort"), (None, lines[1])]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string"), batches=3).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {None: lines[1], "a": lines[0], "ä": "short"}
+
+
 def _shingles(text, n=5):
     w = [x.lower() for x in WORD.findall(text)]
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
