@@ -36,7 +36,7 @@ _SHAPES = 1 << 16
 
 
 def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, shape (below 65536) and beginning of each token of one piece."""
+    """Hash, shape (below 65536, repeats apart) and beginning of each token of one piece."""
     begin, end = spans(data, blanks_only=True)
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), begin
@@ -49,18 +49,23 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     has = np.where(own > 0, has | 8, has & ~np.uint8(8)).astype(np.int32)
     first, last = np.log2(kind[begin]).astype(np.int32), np.log2(kind[end - 1]).astype(np.int32)
     size = np.minimum(np.log2(end - begin).astype(np.int32), 5)
-    again = np.concatenate([[0], (h[1:] == h[:-1]).astype(np.int32)])
     double = np.minimum(own, 3).astype(np.int32)
-    shape = has | (first % 4) << 5 | (last % 4) << 7 | size << 9 | again << 12 | double << 13
+    shape = has | (first % 4) << 5 | (last % 4) << 7 | size << 9 | double << 13
     return h, shape, begin
 
 
 def token_stream(column: pa.Array):
     """Pieces of (document numbers, hashes, shapes) of a column."""
     data, offs = flat(column)
+    last, of = np.uint64(0), -1
     for a, b in pieces(data, 1 << 19):
         h, shape, begin = tokens(data[a:b])
-        yield np.searchsorted(offs, begin + a, "right") - 1, h, shape
+        doc = np.searchsorted(offs, begin + a, "right") - 1
+        if len(h):
+            # a repeat of the token before, in the same document, whatever stands in a piece together
+            again = (h == np.concatenate([[last], h[:-1]])) & (doc == np.concatenate([[of], doc[:-1]]))
+            shape, last, of = shape | again.astype(np.int32) << 12, h[-1], doc[-1]
+        yield doc, h, shape
 
 
 def index_vectors(keys: np.ndarray, dim: int, nonzero: int) -> np.ndarray:
@@ -99,8 +104,8 @@ class Model:
             row = np.where(at >= 0, at, as_shape)
             edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             of = doc[edge]
-            total[of, :dim] += np.add.reduceat(self.vectors[row], edge, axis=0)
-            total[of, dim:] += np.add.reduceat(self.vectors[as_shape], edge, axis=0)
+            total[of, :dim] += np.add.reduceat(self.vectors[row], edge, axis=0, dtype=np.float64)
+            total[of, dim:] += np.add.reduceat(self.vectors[as_shape], edge, axis=0, dtype=np.float64)
             count[of] += np.diff(np.append(edge, len(doc)))
         return np.hstack([total / np.maximum(count, 1)[:, None], np.log1p(count)[:, None]]), count
 
