@@ -160,18 +160,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     d = keyed(docs)
     d = d.join(stay, (d["_ki"] == stay["_si"]) & (d["_kt"] == stay["_st"]), "left")
     d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_ki", "_kt").orderBy("_ki")))
-    lines = F.split("text", "\n")
-    long = lambda x: F.length(F.trim(x)) >= min_chars
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_stay", k - 1))
-    mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_stay") - 1), lambda k: F.concat(F.array_repeat(F.lit(False), F.get("_stay", k) - before(k) - 1), F.array(F.lit(True)))))
-    kept = F.filter(F.zip_with(lines, mask, lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda z: F.coalesce(z["m"], F.lit(False)) | ~long(z["x"]))
-    short = F.array_join(F.filter(lines, lambda x: ~long(x)), "\n")
-    new = (
-        F.when(F.col("text").isNull(), F.col("text"))
-        .when((F.col("_nth") > 1) | F.col("_stay").isNull(), short)
-        .when(F.size("_stay") == F.size(F.filter(lines, long)), F.col("text"))
-        .otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
-    )
+    stays = F.when(F.col("_nth") == 1, F.coalesce("_stay", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
+
+    def cut(lines):
+        """The lines at the places that stay, short ones among them, in their order."""
+        short = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.length(F.trim(F.get(lines, i))) < min_chars)
+        return F.array_join(F.transform(F.sort_array(F.concat(stays, short)), lambda i: F.get(lines, i)), "\n")
+
+    # as the variable of a lambda, the lines are split once for each row
+    new = F.when(F.col("text").isNotNull(), F.get(F.transform(F.array(F.split("text", "\n")), cut), F.lit(0)))
     blank = lambda c: F.translate(c, " \t\r\n", "") == ""
     d = d.withColumn("_new", new).filter(F.col("text").isNull() | blank(F.col("text")) | ~blank(F.col("_new")))
     sizes = {"n_chars": F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
