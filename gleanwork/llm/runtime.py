@@ -75,7 +75,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 #: Columns that operators use by name.
-_KNOWN = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "item_id", "vec_id", "embedding", "page_id", "url", "html")
+_KNOWN = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "item_id", "vec_id", "embedding", "page_id", "url", "html", "path", "span_begin", "span_end", "rule", "is_secret")
 
 
 def isolated(operator):

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from gleanwork.llm import decontaminate, langid, linededup, mixing, quality, secrets, simhash, tokens
+from gleanwork.llm.findings import labelled_findings
 
 BENCH = "item_id bigint, text string"
 
@@ -23,22 +24,30 @@ def rows(df):
     return Counter(map(tuple, df.collect()))
 
 
-def operators(docs, bench, labels):
+@pytest.fixture(scope="module")
+def findings(spark):
+    """Labelled findings, some of them odd, beside columns of clashing names."""
+    held = [(f.text, f.path or None, f.begin, f.end, f.rule, bool(f.secret), "x") for f in labelled_findings(60)]
+    odd = [(None, "p", 0, 1, "opaque", True, "x"), ("short", "p", 0, 99, "opaque", False, "x"), ("short", "p", 3, 3, "opaque", True, "x"), ("short", "p", 0, 5, None, None, "x"), held[0]]
+    return spark.createDataFrame([*held, *odd], f"{secrets.FINDINGS_SCHEMA}, _id string")
+
+
+def operators(docs, bench, labels, findings):
     return {
         "spans": lambda: decontaminate.removal_spans(docs, bench), "scrub": lambda: decontaminate.scrub(docs, bench), "identify": lambda: langid.identify(docs), "schedule": lambda: mixing.schedule(docs), "mix": lambda: mixing.mix(docs),
-        "secrets": lambda: secrets.scan(docs, secrets.fit([])), "score": lambda: quality.score(docs, labels), "keep_good": lambda: quality.keep_good(docs, labels), "lines": lambda: linededup.dedup_lines(docs),
+        "secrets": lambda: secrets.scan(docs, findings), "score": lambda: quality.score(docs, labels), "keep_good": lambda: quality.keep_good(docs, labels), "lines": lambda: linededup.dedup_lines(docs),
         "groups": lambda: simhash.near_duplicates(docs), "keep_one": lambda: simhash.keep_one(docs), "tokens": lambda: tokens.token_counts(docs),
     }
 
 
 PASSING = {"scrub", "mix", "keep_good", "lines", "keep_one"}
 EVERY_ROW = {"identify", "score", "tokens"}
-NAMES = list(operators(None, None, None))
+NAMES = list(operators(None, None, None, None))
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_odd_rows(name, odd, bench, labels):
-    out = operators(odd, bench, labels)[name]()
+def test_odd_rows(name, odd, bench, labels, findings):
+    out = operators(odd, bench, labels, findings)[name]()
     got = out.collect()
     if name in PASSING:
         assert out.columns == odd.columns
@@ -48,8 +57,8 @@ def test_odd_rows(name, odd, bench, labels):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_empty_tables(name, nothing, bench, labels):
-    assert operators(nothing, bench.limit(0), labels.limit(0))[name]().count() == 0
+def test_empty_tables(name, nothing, bench, labels, findings):
+    assert operators(nothing, bench.limit(0), labels.limit(0), findings)[name]().count() == 0
 
 
 def test_columns_that_differ_in_case_only(spark, bench, labels):
@@ -59,6 +68,17 @@ def test_columns_that_differ_in_case_only(spark, bench, labels):
     assert tokens.token_counts(df).collect()[0]["n_tokens"] == 3
 
 
+def test_secrets_of_odd_findings_and_repeated_rows(spark, make, findings):
+    assert len(secrets.sample(findings)) == 60
+    key = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    docs = make([(1, key, "en", "src0"), (1, key, "en", "src0"), (None, key, "en", None), (2, None, "en", "s"), (3, "", "en", "s"), (4, "word " * 40_000 + key, "en", "s")])
+    every = secrets.scan(docs, findings.limit(0)).collect()
+    assert Counter(r["doc_id"] for r in every) == {1: 2, None: 1, 4: 1} and all(r["p_secret"] == 1 and r["is_secret"] for r in every)
+    some = secrets.scan(docs, findings).collect()
+    assert Counter((r["doc_id"], r["span_begin"]) for r in some) == Counter((r["doc_id"], r["span_begin"]) for r in every)
+    assert len({r["p_secret"] for r in some if r["doc_id"] == 1}) == 1
+
+
 def test_null_and_empty_results(odd, labels):
     lang = {(r["doc_id"], r["n_grams"]): r for r in langid.identify(odd).collect()}
     assert lang[(3, 0)]["language"] == "und" and lang[(4, 0)]["confidence"] == 0
