@@ -27,6 +27,8 @@ WEIGHTS = {"src0": 6, "src1": 3, "src2": 2}
 OTHER, BUDGET_PER_MILLE, SEED = 1, 500, "mix-1"
 #: Documents a slice holds on average; only the size of tasks depends on it.
 SLICE_ROWS = 50_000
+#: Sources whose last admitted entries are broadcast, at some 100 bytes each; results don't depend on it.
+MOST_SOURCES = 100_000
 
 
 def n_tokens(text):
@@ -92,10 +94,11 @@ def mix(docs: DataFrame, weights: dict | None = None, other: int = OTHER, per_mi
     weights = WEIGHTS if weights is None else weights
     s = materialize(_schedule(docs, weights, other, per_mille, seed, budget, slice_rows), "mix-kept")
     entry = s.groupBy("_w_id", "_w_src", "_w_n").agg(F.sort_array(F.collect_list(F.struct("_w_vft", "_w_key", "_w_cum"))).alias("_w_slots"))
-    # one row a source; Spark broadcasts it only below its own size limit
-    last = s.groupBy(F.col("_w_src").alias("_l_src")).agg(F.max("_w_key").alias("_l_key"))
     d = docs.withColumns({"_w_tn": n_tokens(F.col("text")), "_w_tk": shuffle_key(F.col("doc_id"), seed)})
-    d = d.join(last, d["source"].eqNullSafe(last["_l_src"]) & (d["_w_tk"] <= last["_l_key"]), "left_semi")
+    last = materialize(s.groupBy(F.col("_w_src").alias("_l_src")).agg(F.max("_w_key").alias("_l_key")), "mix-last")
+    if last.count() <= MOST_SOURCES:
+        # one short row a source, counted; with more of them the documents behind their source's last entry just move along
+        d = d.join(F.broadcast(last), d["source"].eqNullSafe(last["_l_src"]) & (d["_w_tk"] <= last["_l_key"]), "left_semi")
     on = d["doc_id"].eqNullSafe(entry["_w_id"]) & d["source"].eqNullSafe(entry["_w_src"]) & (d["_w_tn"] == entry["_w_n"])
     joined = d.join(entry.hint("shuffle_hash"), on)
     nth = F.row_number().over(Window.partitionBy("_w_id", "_w_src", "_w_n").orderBy(F.xxhash64("text")))

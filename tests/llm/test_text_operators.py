@@ -130,6 +130,9 @@ def test_mix_against_brute_force(make, slice_rows):
     got = mixing.schedule(docs, slice_rows=slice_rows, per_mille=600).collect()
     assert [tuple(r)[0:1] + tuple(r)[2:] for r in got] == mix_by_hand(rows, mixing.WEIGHTS, mixing.OTHER, 600, mixing.SEED)
     assert [r["doc_id"] for r in mixing.mix(docs, slice_rows=slice_rows, per_mille=600).collect()] == [r["doc_id"] for r in got]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "MOST_SOURCES", 0)
+        assert [r["doc_id"] for r in mixing.mix(docs, slice_rows=slice_rows, per_mille=600).collect()] == [r["doc_id"] for r in got]
     # sources that don't run out have shares near their weights
     big = make([(k, "w w w w w", "en", f"src{k % 3}") for k in range(900)])
     share = {r[0]: r[1] for r in mixing.mix(big, per_mille=400).groupBy("source").count().collect()}
