@@ -1,8 +1,8 @@
 """SimHash near-dedup over an inverted index of positional bits with a guaranteed minimum count.
 
-A document's fingerprint is a SimHash of its words: 192 bits, all of them indexed. Words that make up more than
-1 / `common` of all words of the corpus are left out (their bins are counted over all documents), as they make unrelated texts
-alike; a document that would keep fewer than `few` words keeps all.
+A document's fingerprint is a SimHash of its distinct words: 192 bits, all of them indexed. Each word counts once, so that the few words
+that texts of a language have most of don't make unrelated texts alike; no statistics of the corpus enter, so a fingerprint depends on its text
+alone, and no word is lost to a copy because there are many copies.
 
 All 192 bits are 64 positions of 3 bits, in 8 groups of 8. Two fingerprints at most `distance` bits apart share 64 - distance
 positions at least (26 for 38), whichever bits differ, so in one group a guaranteed number of positions (4 of 8). The index has a
@@ -38,54 +38,37 @@ from pyspark.sql import functions as F
 from .runtime import discard, isolated, keyed, materialize, row_key
 from .text import mix, word_hashes
 
-#: Production parameters.
-COMMON, FEW, DISTANCE = 5000, 8, 38
-_BINS = 18
+#: Production parameter.
+DISTANCE = 38
 #: Rows of the index that a task is given about, as long as their keys are no larger; and the most of one key in a block.
 TASK_ROWS, BLOCK_ROWS = 400_000, 1_000_000
 _GROUPS, _PLACES = 8, 8
 #: Pairs held before they are reduced to spanning links.
 _HELD = 1 << 20
 _LANE = np.uint64(0x0101010101010101)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _NODE = "struct<a:bigint,b:bigint,c:bigint>"
 
 
-def _bin(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - _BINS)).astype(np.int64)
-
-
-def common_bins(docs: DataFrame, common: int = COMMON) -> np.ndarray:
-    """Flags of the word bins that hold more than 1 / common of all words, at most `common` of them. Every task sends the sums of
-    its own bins, 2**18 at most, so the counts are exact however the documents are partitioned."""
-
-    def run(batches):
-        counts = np.zeros(1 << _BINS, np.int64)
-        for b in batches:
-            h, _ = word_hashes(b.column("text"))
-            counts += np.bincount(_bin(h), minlength=1 << _BINS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bin", "n"])
-
-    sums = materialize(docs.select("text").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")), "simhash-bins")
-    limit = (sums.agg(F.sum("n").alias("t")).first()["t"] or 0) / common
-    flags = np.zeros(1 << _BINS, bool)
-    flags[[r[0] for r in sums.filter(F.col("n") > limit).select("bin").collect()]] = True
-    discard(sums)
-    return flags
+def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each distinct word of each text, of 44 bits of its own, and where each text's words begin."""
+    h, offs = word_hashes(column)
+    n = len(offs) - 1
+    key = np.repeat(np.arange(n, dtype=np.uint64), np.diff(offs)) << np.uint64(44) | h >> np.uint64(20)
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return mix((key & np.uint64((1 << 44) - 1)) + _STEP), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(44))
 
 
-def fingerprints(column: pa.Array, common: np.ndarray | None, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Three 64-bit words for each text, and whether it has words."""
-    h, offs = word_hashes(column)
+    if len(column) >= 1 << 20:
+        parts = [fingerprints(column.slice(k, 1 << 19)) for k in range(0, len(column), 1 << 19)]
+        return np.concatenate([f for f, _ in parts]), np.concatenate([have for _, have in parts])
+    h, offs = _distinct(column)
     n = len(offs) - 1
     have = np.diff(offs) > 0
-    if common is not None and len(h):
-        rare = ~common[_bin(h)]
-        count = np.concatenate([[0], np.cumsum(rare)])
-        sparse = count[offs[1:]] - count[offs[:-1]] < few
-        rare |= np.repeat(sparse, np.diff(offs))
-        count = np.concatenate([[0], np.cumsum(rare)])
-        h, offs = h[rare], count[offs]
     out = np.zeros((n, 3), np.uint64)
     size = np.diff(offs)
     full = np.flatnonzero(size)
@@ -101,7 +84,7 @@ def fingerprints(column: pa.Array, common: np.ndarray | None, few: int = FEW) ->
             sums[:, lane] = np.add.reduceat((h >> np.uint64(lane)) & _LANE, begin)
         bits = np.add.reduceat(sums.view(np.uint8).astype(np.int64), owner, axis=0)
         out[full, k] = np.packbits(bits * 2 > size[full][:, None], axis=1).view(np.uint64)[:, 0]
-        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+        h = mix(h + _STEP)
     return out, have
 
 
@@ -277,15 +260,14 @@ def _tasks(sizes: dict[int, int], task_rows: int, block_rows: int) -> tuple[np.n
     return blocks, base, np.array(out or [0], np.int32)
 
 
-def groups(docs: DataFrame, common: int = COMMON, few: int = FEW, distance: int = DISTANCE, task_rows: int = TASK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def groups(docs: DataFrame, distance: int = DISTANCE, task_rows: int = TASK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """_id, _tx, number of such rows, the key (_gi, _gt) and size of the group, and the number of links of each such row, for every
     document in a group of two or more rows."""
     shared = shared_in_group(distance)
-    flags = common_bins(docs, common)
 
     def run(batches):
         for b in batches:
-            f, have = fingerprints(b.column("text"), flags, few)
+            f, have = fingerprints(b.column("text"))
             f = f.view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_tx"), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(3)), pa.array(have)], ["_id", "_tx", "f1", "f2", "f3", "have"])
 

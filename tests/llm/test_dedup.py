@@ -107,8 +107,7 @@ def test_groups_equal_brute_force_over_fingerprints(make):
             t[rng.integers(0, len(t))] = words[rng.integers(0, 400)]
         rows.append((k, " ".join(t), "en", "s"))
     docs = make(rows)
-    flags = simhash.common_bins(docs)
-    f, have = simhash.fingerprints(pa.array([r[1] for r in rows]), flags)
+    f, have = simhash.fingerprints(pa.array([r[1] for r in rows]))
     assert have.all()
     label = list(range(len(rows)))
     links = [0] * len(rows)
@@ -134,16 +133,12 @@ def test_groups_equal_brute_force_over_fingerprints(make):
     assert read(simhash.near_duplicates(docs.repartition(50))) == want == read(simhash.near_duplicates(docs.coalesce(1), block_rows=7, task_rows=5))
 
 
-def fingerprint_by_hand(text, common, few=simhash.FEW):
-    """A SimHash written out: for each of 192 bits, the majority of the words' hash bits."""
-    hashes = [hash_of(m.group().lower()) for m in WORD.finditer(text)]
-    rare = [h for h in hashes if not common[h >> (64 - simhash._BINS)]]
-    hashes = rare if len(rare) >= few else hashes
+def fingerprint_by_hand(text, hash_of=hash_of):
+    """A SimHash written out: for each of 192 bits, the majority of the distinct words' hash bits."""
+    hashes = [splitmix((h >> 20) + 0x9E3779B97F4A7C15) for h in {hash_of(m.group().lower()) for m in WORD.finditer(text)}]
     bits = []
     for _ in range(3):
-        for byte in range(8):
-            for bit in range(8):
-                bits.append(2 * sum(h >> (8 * byte + bit) & 1 for h in hashes) > len(hashes))
+        bits += [2 * sum(h >> (8 * byte + bit) & 1 for h in hashes) > len(hashes) for byte in range(8) for bit in range(8)]
         hashes = [splitmix(h + 0x9E3779B97F4A7C15) for h in hashes]
     return bits
 
@@ -158,19 +153,26 @@ def splitmix(h):
 
 def test_fingerprints_against_a_naive_simhash(spark, sf):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + ["one", "", "x " * 700]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    counts = Counter()
-    for t in texts:
-        counts.update(hash_of(m.group().lower()) >> (64 - simhash._BINS) for m in WORD.finditer(t))
-    total = sum(counts.values())
-    flags = simhash.common_bins(docs.repartition(7), 300)
-    assert set(np.flatnonzero(flags)) == {b for b, n in counts.items() if n > total / 300}
-    f, _ = simhash.fingerprints(pa.array(texts), flags)
+    f, _ = simhash.fingerprints(pa.array(texts))
     for k, t in enumerate(texts):
         if WORD.search(t):
             # packed with the bits of each byte apart, the lowest first
             got = np.unpackbits(f[k].view(np.uint8)).reshape(3, 8, 8).transpose(0, 2, 1)
-            assert (got == np.array(fingerprint_by_hand(t, flags)).reshape(3, 8, 8)).all()
+            assert (got == np.array(fingerprint_by_hand(t)).reshape(3, 8, 8)).all()
+
+
+def test_a_group_that_holds_a_third_of_all_rows(make):
+    """Near copies of one text, so many that its words are the commonest of the corpus."""
+    rng = np.random.default_rng(41)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    base, texts = say(120), []
+    for _ in range(300):
+        t = list(base)
+        t[int(rng.integers(0, 120))] = "changed" + say(1)[0]
+        texts.append(" ".join(t))
+    texts += [" ".join(say(120)) for _ in range(600)]
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(make([(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    assert set(got) == set(range(300)) and {(r["group_id"], r["group_size"], r["n_links"]) for r in got.values()} == {(0, 300, 299)}
 
 
 def test_all_pairs_within_the_distance_are_found_by_band(make):
@@ -183,7 +185,7 @@ def test_all_pairs_within_the_distance_are_found_by_band(make):
         copy[at] = rng.integers(50_000, 90_000, len(at))
         texts += [" ".join(f"w{x}" for x in t), " ".join(f"w{x}" for x in copy)]
     docs = make([(k, t, "en", "s") for k, t in enumerate(texts)])
-    f, _ = simhash.fingerprints(pa.array(texts), simhash.common_bins(docs))
+    f, _ = simhash.fingerprints(pa.array(texts))
     group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
     bands = defaultdict(list)
     for a in range(len(texts)):
