@@ -16,7 +16,7 @@ from .index import Index
 from .operators import derive, edges, fts, geo, ingest, membership, ranking, timelines, trees, vectors
 from .plans import compile as plan
 from .plans.spec import parse
-from .session import attach, table
+from .session import attach, scratch, table
 from .streaming import live
 
 QUERIES: dict = {}
@@ -81,10 +81,28 @@ def index(spark, sf) -> Index:
     return Index(spark, {"docs": d, "membership": document_keys(spark, sf), "fts": d.select("doc_id", F.col("text").alias("fts_text")), "vectors": v, "timeline_pos": points(d.withColumn("ts", F.timestamp_seconds(F.col("n_chars") * 86400)), "content", "doc_id", "ts", "day")}, embed=embed)
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, sf) -> Index:
+    """The same with its text index, which is built and stored once for each application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _indexes:
+        return index(spark, sf).use_postings(_indexes[key])
+    folder = scratch(spark, "text-index")
+    ix = index(spark, sf).store_postings(folder)
+    _indexes[key] = folder
+    return ix
+
+
 def candidates(spark, sf, spec, **more) -> DataFrame:
     return plan.candidates(document_planes(spark, sf, **more), parse(spec)).select("doc_id")
 
 
+def membership_of(ix: Index, key: str) -> DataFrame:
+    return ix.tables["membership"].filter(F.col("key") == key).select("key", "doc_id")
+
+
 _DEFAULT = f"source NOT IN ({_STAMPED})"
 
 # -- features, keys, datasets
@@ -191,9 +209,7 @@ def ids_bucket(spark, sf):
 
 @query("SELECT doc_id, lang = 'en' AS present FROM documents")
 def has_probe(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
-    m = membership.ids(document_keys(spark, sf), "tag/lang/en").withColumn("hit", F.lit(True))
-    return d.join(m, "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("present"))
+    return index(spark, sf).has_many(table(spark, sf, "documents"), {"features": ["+tag/lang/en"]})
 
 
 @query(f"SELECT doc_id FROM documents WHERE lang = 'en' AND {_DEFAULT} ORDER BY doc_id DESC LIMIT 50")
@@ -208,8 +224,7 @@ def page_offset(spark, sf):
 
 @query("SELECT i AS pos, doc_id, n_chars FROM (VALUES (0, 42), (1, 7), (2, 42), (3, 19)) AS v(i, id) JOIN documents ON doc_id = id")
 def multi_get(spark, sf):
-    asked = spark.createDataFrame([(0, 42), (1, 7), (2, 42), (3, 19)], "pos int, doc_id bigint")
-    return table(spark, sf, "documents").join(asked, "doc_id").select("pos", "doc_id", "n_chars")
+    return index(spark, sf).get_many([42, 7, 42, 19], "pos").select("pos", "doc_id", "n_chars")
 
 
 # -- trees
@@ -344,15 +359,14 @@ def tl_union(spark, sf):
     return timelines.query(_two_axes(spark, sf), "*", "2001", "2024")
 
 
-@query("""SELECT timeline, coalesce(doc_ids, []) AS doc_ids FROM (
-SELECT 'events' AS timeline, list(event_id ORDER BY event_id) FILTER (ts >= DATE '2024-01-02' AND ts < DATE '2024-01-03') AS doc_ids FROM events
-UNION ALL SELECT 'orders', list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderdate::DATE = DATE '2024-01-02') FROM orders)""")
+@query("""SELECT 'events' AS timeline, event_id AS doc_id FROM events WHERE ts >= DATE '2024-01-02' AND ts < DATE '2024-01-03'
+UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderdate::DATE = DATE '2024-01-02'""")
 def tl_grouped(spark, sf):
     return timelines.query(_two_axes(spark, sf), ["events", "orders"], "2024-01-02", mode="grouped")
 
 
-@query("""SELECT 'events' AS timeline, 'second' AS layer, list(event_id ORDER BY event_id) AS doc_ids FROM events WHERE ts >= DATE '2024-01-02' AND ts < DATE '2024-01-03' HAVING count(*) > 0
-UNION ALL SELECT 'orders', 'day', list(o_orderkey ORDER BY o_orderkey) FROM orders WHERE o_orderdate::DATE = DATE '2024-01-02' HAVING count(*) > 0""")
+@query("""SELECT 'events' AS timeline, 'second' AS layer, event_id AS doc_id FROM events WHERE ts >= DATE '2024-01-02' AND ts < DATE '2024-01-03'
+UNION ALL SELECT 'orders', 'day', o_orderkey FROM orders WHERE o_orderdate::DATE = DATE '2024-01-02'""")
 def tl_layers(spark, sf):
     return timelines.query(_two_axes(spark, sf), ["events", "orders"], "2024-01-02", mode="layers")
 
@@ -371,13 +385,13 @@ def tl_histogram_days(spark, sf):
 
 @query("SELECT timeline, n FROM (SELECT 'events' AS timeline, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders)")
 def tl_counts(spark, sf):
-    pos = _two_axes(spark, sf)
-    return pos.groupBy("timeline").agg(F.countDistinct("doc_id").alias("n"))
+    return timelines.counts(_two_axes(spark, sf))
 
 
 @query("SELECT 'orders' AS timeline, 'day' AS scale UNION ALL SELECT 'events', 'second'")
 def tl_scales(spark, sf):
-    return _two_axes(spark, sf).select("timeline", "scale").distinct()
+    pos = _two_axes(spark, sf)
+    return timelines.scales(pos, "orders").withColumn("timeline", F.lit("orders")).unionByName(timelines.scales(pos, "events").withColumn("timeline", F.lit("events")))
 
 
 _SORT = f"SELECT o_orderkey AS doc_id, epoch_ms(a::TIMESTAMP)::BIGINT AS sort_ms FROM orders LEFT JOIN ({_SHIP}) ON doc_id = o_orderkey"
@@ -571,28 +585,106 @@ def upsert_merge(spark, sf):
     return out.select("doc_id", "data", F.array_sort("features").alias("features"))
 
 
-@query("SELECT 'context/x/1' AS key, doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("""SELECT 'tag/batch' AS key, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def unlink_documents(spark, sf):
-    d = table(spark, sf, "documents")
-    m = membership.tick(spark.createDataFrame([], "key string, doc_id bigint"), ["context/x/1"], d.filter(F.col("lang") == "en"))
-    return membership.untick(m, ["context/x/1"], table(spark, sf, "labels").select("doc_id").distinct())
+    ix = index(spark, sf)
+    ix.link(table(spark, sf, "documents"), {"features": ["tag/batch"]})
+    ix.unlink(table(spark, sf, "labels"), {"features": ["tag/batch"]})
+    return membership_of(ix, "tag/batch")
+
 
+@query("""SELECT doc_id, ok, CASE WHEN NOT ok THEN 'not linked' END AS reason FROM (SELECT DISTINCT doc_id, lang = 'en' AS ok FROM labels JOIN documents USING (doc_id))
+UNION ALL SELECT -5, FALSE, 'no such document'""")
+def unlink_outcome(spark, sf):
+    """What became of each document of a batch."""
+    ix = index(spark, sf)
+    asked = table(spark, sf, "labels").select("doc_id").join(table(spark, sf, "documents"), "doc_id", "left_semi").unionByName(spark.createDataFrame([(-5,)], "doc_id bigint"))
+    return ix.unlink(asked, {"features": ["tag/lang/en"]})
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+
+def _deleted(spark, sf) -> Index:
+    ix = index(spark, sf)
+    ix.delete(table(spark, sf, "labels"), F.lit("2024-01-01").cast("timestamp"))
+    return ix
+
+
+_LEFT = "doc_id NOT IN (SELECT doc_id FROM labels)"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_LEFT}")
 def delete_documents(spark, sf):
-    d = table(spark, sf, "documents")
-    return ingest.delete(d, document_keys(spark, sf), table(spark, sf, "labels"), F.lit("2024-01-01").cast("timestamp"))[0].select("doc_id")
+    return _deleted(spark, sf).docs.select("doc_id")
+
+
+@query(f"""SELECT 'membership' AS plane, doc_id FROM documents WHERE {_LEFT} UNION ALL SELECT 'vectors', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'fts', doc_id FROM documents WHERE {_LEFT} UNION ALL SELECT 'tombstones', doc_id FROM documents WHERE NOT {_LEFT} UNION ALL SELECT 'freed', doc_id FROM documents WHERE NOT {_LEFT}""")
+def delete_planes(spark, sf):
+    """What a delete leaves on the planes."""
+    ix = _deleted(spark, sf)
+    out = None
+    for name in ("membership", "vectors", "fts", "tombstones", "freed"):
+        one = ix.tables[name].select(F.lit(name).alias("plane"), "doc_id").distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT {_LEFT}")
+def tl_deleted(spark, sf):
+    """Deleted documents are on a timeline of their own."""
+    return timelines.query(_deleted(spark, sf).tables["timeline_pos"], "crud:deleted", "2024-01-01")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def embed_gap(spark, sf):
-    return vectors.gap(table(spark, sf, "documents"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")))
+    ix = index(spark, sf)
+    ix.tables["seen"] = ix.tables["vectors"].select("space", "doc_id")
+    return ix.unembedded("text", ["tag/lang/en", "tag/lang/de", "tag/lang/fr", "tag/lang/es"])
 
 
-@query("""SELECT event_id AS doc_id, k::INTEGER AS pos, strftime(date_trunc('second', ts) + k * INTERVAL 7 DAY, '%Y-%m-%dT%H:%M:%S') AS start FROM events, range(4) AS r(k)""")
+def _recurring(spark, sf, rule, end=None):
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = table(spark, sf, "events")
+    stop = F.lit(None).cast("string") if end is None else iso(F.col("ts") + F.expr(end))
+    e = e.select(F.col("event_id").alias("doc_id"), iso("ts").alias("start"), stop.alias("end"), F.lit(end is not None).alias("end_given"), rule.alias("recurrence"))
+    return recurrence.expand_events(e).select("doc_id", "pos", F.substring("start", 1, 19).alias("start"), F.substring("end", 1, 19).alias("end"), "end_given")
+
+
+_FMT = "'%Y-%m-%dT%H:%M:%S'"
+
+
+@query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t, event_id % 4 AS r FROM events)
+SELECT event_id AS doc_id, k::INTEGER AS pos, strftime(CASE r WHEN 0 THEN t + k * INTERVAL 7 DAY WHEN 1 THEN t + k * 3 * INTERVAL 1 DAY ELSE t END, {_FMT}) AS start, strftime(CASE r WHEN 0 THEN t + k * INTERVAL 7 DAY WHEN 1 THEN t + k * 3 * INTERVAL 1 DAY ELSE t END + INTERVAL 30 MINUTE, {_FMT}) AS "end", TRUE AS end_given
+FROM e, range(5) AS x(k) WHERE (r = 0 AND k < 4) OR r = 1 OR (r = 2 AND k = 0)
+UNION ALL SELECT event_id, 0, strftime(t, {_FMT}), NULL, TRUE FROM e WHERE r = 3""")
 def recurrence_expand(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), F.lit(None).cast("string").alias("end"), F.lit(False).alias("end_given"), F.lit("FREQ=WEEKLY;COUNT=4").alias("recurrence"))
-    return recurrence.expand_events(e).select("doc_id", "pos", F.substring("start", 1, 19).alias("start"))
+    """Weekly, every three days, no rule, and a rule outside the subset, which leaves the envelope."""
+    r = F.col("event_id") % 4
+    return _recurring(spark, sf, F.when(r == 0, "FREQ=WEEKLY;COUNT=4").when(r == 1, "FREQ=DAILY;INTERVAL=3;COUNT=5").when(r == 3, "FREQ=HOURLY"), "INTERVAL 30 MINUTES")
+
+
+@query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events),
+d AS (SELECT event_id, t, t + k * INTERVAL 1 DAY AS at FROM e, range(60) AS x(k) WHERE k = 0 OR isodow(t + k * INTERVAL 1 DAY) IN (1, 3)),
+o AS (SELECT event_id, at, row_number() OVER (PARTITION BY event_id ORDER BY at) - 1 AS pos FROM d WHERE at <= TIMESTAMP '2024-02-15 23:59:59')
+SELECT event_id AS doc_id, pos::INTEGER AS pos, strftime(at, {_FMT}) AS start, NULL::VARCHAR AS "end", FALSE AS end_given FROM o
+UNION ALL SELECT event_id, 0, strftime(t, {_FMT}), '2024-02-15T23:59:59', TRUE FROM e WHERE t > TIMESTAMP '2024-02-15 23:59:59'""")
+def recurrence_byday_until(spark, sf):
+    return _recurring(spark, sf, F.lit("FREQ=WEEKLY;BYDAY=MO,WE;UNTIL=20240215"))
+
+
+@query(f"""SELECT event_id AS doc_id, 513 AS n, strftime(date_trunc('second', ts), {_FMT}) AS first, strftime(date_trunc('second', ts) + 512 * INTERVAL 1 DAY, {_FMT}) AS tail FROM events""")
+def recurrence_tail(spark, sf):
+    """A rule without end: 512 occurrences and an open tail."""
+    rows = _recurring(spark, sf, F.lit("FREQ=DAILY"))
+    return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), F.min("start").alias("first"), F.max(F.when(F.col("end_given"), F.col("start"))).alias("tail"))
+
+
+@query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events),
+m AS (SELECT event_id, k, make_date(year(t)::BIGINT + (month(t) - 1 + k) // 12, (month(t) - 1 + k) % 12 + 1, 1) AS first, t FROM e, range(30) AS x(k)),
+o AS (SELECT event_id, first + (day(t) - 1) * INTERVAL 1 DAY + (t - date_trunc('day', t)) AS at, row_number() OVER (PARTITION BY event_id ORDER BY k) AS n FROM m WHERE day(t) <= day(last_day(first)))
+SELECT event_id AS doc_id, (n - 1)::INTEGER AS pos, strftime(at, {_FMT}) AS start, NULL::VARCHAR AS "end", FALSE AS end_given FROM o WHERE n <= 12""")
+def recurrence_monthly(spark, sf):
+    """Months without the day are skipped."""
+    return _recurring(spark, sf, F.lit("FREQ=MONTHLY;COUNT=12"))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'completed' ELSE 'pending' END AS status, quality = 1 AS completed FROM labels")
@@ -633,24 +725,37 @@ bm AS (SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf *
 
 @query(f"WITH {_bm25_sql('ation')} SELECT doc_id FROM bm")
 def fts_token_and(spark, sf):
-    return index(spark, sf).text_scores("ation").select("doc_id")
+    return text_index(spark, sf).text_scores("ation").select("doc_id")
 
 
 @query(f"WITH {_bm25_sql('with erthe tion')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
 def fts_bm25_topk(spark, sf):
-    return fts.ranked(index(spark, sf).text_scores("with erthe tion"), limit=50)
+    return fts.ranked(text_index(spark, sf).text_scores("with erthe tion"), limit=50)
 
 
 @query(f"WITH {_bm25_sql('that the', 'doc_id IN (SELECT doc_id FROM documents WHERE source = ' + chr(39) + 'src7' + chr(39) + ')')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def fts_scoped(spark, sf):
-    return index(spark, sf).query("that the", {"features": ["+client/src7"], "mode": "fts", "limit": 20})
+    return text_index(spark, sf).query("that the", {"features": ["+client/src7"], "mode": "fts", "limit": 20})
 
 
 @query(f"WITH {_bm25_sql('erthe tion')} SELECT doc_id, score FROM bm")
 def fts_stored_index(spark, sf):
-    """The same scores from a stored index, built over all texts."""
-    ix = index(spark, sf).build_postings()
-    return fts.ranked(ix.text_scores("erthe tion"))
+    """Every match, from the stored index."""
+    return fts.ranked(text_index(spark, sf).text_scores("erthe tion"))
+
+
+@query(f"WITH {_bm25_sql('erthe tion')} SELECT doc_id, score FROM bm")
+def fts_scan(spark, sf):
+    """The same without an index: texts are scanned."""
+    return fts.ranked(index(spark, sf).text_scores("erthe tion"))
+
+
+@query(f"WITH {_GRAMS} SELECT (SELECT count(*) FROM (SELECT DISTINCT gram, doc_id FROM gr)) AS n_postings, n_docs, round(mean_len, 6) AS mean_len FROM st")
+def fts_index_build(spark, sf):
+    """A text index built and stored anew, and what it holds."""
+    ix = index(spark, sf).store_postings(scratch(spark, "text-index"))
+    n = ix.tables["postings"].agg(F.count("*").alias("n_postings"))
+    return n.crossJoin(fts.statistics(ix.tables["lengths"]).select("n_docs", F.round("mean_len", 6).alias("mean_len")))
 
 
 @query(f"WITH {_GRAMS} SELECT gram, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM gr GROUP BY 1")
@@ -683,9 +788,10 @@ def knn_topk(spark, sf):
     return _six(vectors.search(_space(spark, sf), _anchor(spark, sf, 7), limit=25))
 
 
-@query(f"SELECT * FROM ({_cosine_sql('7')}) WHERE distance BETWEEN 0.05 AND 0.6")
+@query(f"SELECT * FROM ({_cosine_sql('7')}) WHERE distance BETWEEN 0.05 AND 0.6 AND doc_id IN (SELECT doc_id FROM documents)")
 def knn_floor(spark, sf):
-    return _six(vectors.search(_space(spark, sf), _anchor(spark, sf, 7), min_distance=0.05, max_distance=0.6))
+    every = [f"data/dataset/src{k}" for k in range(5)]
+    return _six(index(spark, sf).search_by_vector(_anchor(spark, sf, 7), {"features": every}, "text", limit=0, min_distance=0.05, max_distance=0.6, dim=64))
 
 
 @query(f"SELECT * FROM ({_cosine_sql('7')}) WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3) ORDER BY distance, doc_id LIMIT 10")
@@ -696,7 +802,7 @@ def knn_scoped(spark, sf):
 
 @query(f"SELECT * FROM ({_cosine_sql('11')}) WHERE doc_id <> 11 ORDER BY distance, doc_id LIMIT 25")
 def more_like_this(spark, sf):
-    return _six(vectors.more_like(_space(spark, sf), 11))
+    return _six(index(spark, sf).more_like(11, "text"))
 
 
 @query(f"WITH d AS ({_cosine_sql('7')}), h AS (SELECT * FROM d WHERE doc_id <> 7) SELECT doc_id, distance FROM h WHERE distance <= (SELECT least(min(distance) + 0.1, 0.945) FROM h)")
@@ -727,12 +833,12 @@ SELECT doc_id, score FROM f ORDER BY score DESC, first LIMIT {limit}"""
 @query(_rrf_sql("with the", (2, 1), within="SELECT doc_id FROM documents"))
 def rrf_hybrid(spark, sf):
     every = [f"data/dataset/src{k}" for k in range(5)]
-    return index(spark, sf).query("with the", {"features": every, "limit": 20})
+    return text_index(spark, sf).query("with the", {"features": every, "limit": 20})
 
 
 @query(_rrf_sql("with the", (1, 3), within="SELECT doc_id FROM documents"))
 def rrf_weighted(spark, sf):
-    ix = index(spark, sf)
+    ix = text_index(spark, sf)
     ix.tuning = ranking.Tuning.make(weights={"fts": 1, "dense": 3})
     return ix.query("with the", {"features": [f"data/dataset/src{k}" for k in range(5)], "limit": 20})
 
@@ -743,7 +849,7 @@ _GATE = f"SELECT doc_id FROM documents WHERE lang = 'en' AND {_DEFAULT} AND n_ch
 @query(_rrf_sql("with the", (2, 1), within=_GATE))
 def rrf_gated(spark, sf):
     """The flagship: text and vectors fused inside a feature gate and a timeline filter."""
-    return index(spark, sf).query("with the", {"features": ["+tag/lang/en"], "filters": ["t:content:1971..1979"], "limit": 20})
+    return text_index(spark, sf).query("with the", {"features": ["+tag/lang/en"], "filters": ["t:content:1971..1979"], "limit": 20})
 
 
 def _match_sql(text: str) -> str:
@@ -752,12 +858,19 @@ def _match_sql(text: str) -> str:
 
 @query(f"WITH {_bm25_sql('shhe', 'doc_id IN (' + _match_sql('erenin') + ')')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def refine_chain(spark, sf):
-    ix = index(spark, sf)
+    ix = text_index(spark, sf)
     return ix.search_refined(["erenin", "shhe"], {"features": [f"data/dataset/src{k}" for k in range(5)]}, limit=20, mode="fts")
 
 
+@query(f"SELECT 0 AS line, count(*) AS n FROM ({_match_sql('erenin')}) UNION ALL SELECT 1, count(*) FROM ({_match_sql('shhe')})")
+def compound_counts(spark, sf):
+    """Members of each line of a compound search."""
+    every = [f"data/dataset/src{k}" for k in range(5)]
+    return text_index(spark, sf).search_compound([{"queries": ["erenin"]}, {"queries": ["shhe"]}], "or", {"features": every}, limit=100, mode="fts")[1]
+
+
 def _compound(spark, sf, op):
-    ix = index(spark, sf)
+    ix = text_index(spark, sf)
     every = [f"data/dataset/src{k}" for k in range(5)]
     return ix.search_compound([{"queries": ["erenin"]}, {"queries": ["shhe"]}], op, {"features": every}, limit=100, mode="fts")[0]
 

@@ -1,7 +1,10 @@
 """Recurrence rules: the subset FREQ, INTERVAL, COUNT, UNTIL, BYDAY (weekly) and WKST, expanded to occurrences.
 
 Up to CAP occurrences are expanded exactly; a rule that goes on keeps the rest as one tail interval, open or up to UNTIL.
-Rules outside the subset give one envelope from the start to UNTIL, or open. Dates that a month or year lacks are skipped.
+Rules outside the subset give one envelope from the start to UNTIL, or open. Dates that a month or year lacks are skipped. A series ends where the
+calendar does, with the year 9999: an occurrence that would reach beyond it is none.
+
+Events without a rule, and those that repeat every so many days or weeks, are expanded in the JVM; the rest go through Python in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .time import month_length
 
 CAP = 512
 _DAYS = {"MO": 0, "TU": 1, "WE": 2, "TH": 3, "FR": 4, "SA": 5, "SU": 6}
@@ -20,9 +26,9 @@ _UNTIL = re.compile(r"(?:^|;)\s*UNTIL=(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d
 def _instant(text: str) -> datetime | None:
     try:
         d = datetime.fromisoformat(text)
-    except ValueError:
+        return d.replace(tzinfo=UTC) if d.tzinfo is None else d.astimezone(UTC)
+    except (ValueError, OverflowError):
         return None
-    return d.replace(tzinfo=UTC) if d.tzinfo is None else d.astimezone(UTC)
 
 
 def _text(d: datetime) -> str:
@@ -41,29 +47,46 @@ def _whole(text: str | None, default):
     return int(text) if re.fullmatch(r"\d+", text) and int(text) > 0 else 0
 
 
+def _plus(at: datetime, by: timedelta) -> datetime | None:
+    """at + by, or None beyond the calendar."""
+    try:
+        return at + by
+    except OverflowError:
+        return None
+
+
+def _days(n: int) -> timedelta | None:
+    return timedelta(days=n) if n <= 4_000_000 else None
+
+
 def _starts(first: datetime, freq: str, step: int, days: list[int] | None):
-    """Occurrences without end, in order."""
-    if freq == "WEEKLY" and days is not None and (len(days) > 1 or first.weekday() != days[0]):
-        yield first
-        at = first
-        for _ in range(CAP * 8):
-            at += timedelta(days=1)
-            if at.weekday() in days:
-                yield at
-    elif freq in ("DAILY", "WEEKLY"):
-        at = first
-        while True:
-            yield at
-            at += timedelta(days=step * (7 if freq == "WEEKLY" else 1))
-    else:
+    """Occurrences in order, as far as the calendar goes."""
+    if freq in ("MONTHLY", "YEARLY"):
+        months = step * (12 if freq == "YEARLY" else 1)
+        at = first.year * 12 + first.month - 1
         for k in range(CAP * 8):
-            y, m = divmod(first.year * 12 + first.month - 1 + k * step * (12 if freq == "YEARLY" else 1), 12)
-            if y > 9999:
+            year, month = divmod(at + k * months, 12)
+            if year > 9999:
                 return
-            try:
-                yield first.replace(year=y, month=m + 1)
-            except ValueError:  # no such day
-                continue
+            # a short month has no such day
+            if first.day <= month_length(year, month + 1):
+                yield first.replace(year=year, month=month + 1)
+        return
+    if days is not None and (len(days) > 1 or first.weekday() != days[0]):
+        offsets = sorted({(d - first.weekday()) % 7 or 7 for d in days})
+        yield first
+        for week in range(CAP * 2):
+            for offset in offsets:
+                at = _plus(first, timedelta(days=7 * week + offset))
+                if at is None:
+                    return
+                yield at
+        return
+    apart = _days(step * (7 if freq == "WEEKLY" else 1))
+    at: datetime | None = first
+    while at is not None:
+        yield at
+        at = _plus(at, apart) if apart is not None else None
 
 
 def expand(rule: str, start: str, end: str | None = None, has_end: bool = False) -> list[tuple[str, str | None, bool]] | None:
@@ -104,7 +127,7 @@ def expand(rule: str, start: str, end: str | None = None, has_end: bool = False)
     found: list[datetime] = []
     tail = None
     for at in _starts(first, freq, step, days):
-        if last is not None and at > last:
+        if (last is not None and at > last) or (length is not None and _plus(at, length) is None):
             break
         if len(found) == CAP:
             tail = at
@@ -130,14 +153,36 @@ def occurrences(rule: str | None, start: str | None, end: str | None = None, has
     return [(start, until(rule), True)] if got is None else got
 
 
+_SIMPLE = r"^FREQ=(DAILY|WEEKLY)(?:;INTERVAL=([1-9][0-9]{0,2}))?(?:;COUNT=([1-9][0-9]{0,2}))?$"
+_ISO = r"^[1-8][0-9]{3}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?Z$"
+
+
 def expand_events(events: DataFrame) -> DataFrame:
     """doc_id, pos, start, end and end_given from events (doc_id, start, end, end_given, recurrence)."""
+    spark = events.sparkSession
+    rows = events.select("doc_id", "start", "end", F.coalesce("end_given", F.lit(False)).alias("end_given"), "recurrence")
+    none = F.coalesce("recurrence", F.lit("")) == ""
+    part = lambda n: F.nullif(F.regexp_extract("recurrence", _SIMPLE, n), F.lit("")).cast("int")
+    step = F.when(F.regexp_extract("recurrence", _SIMPLE, 1) == "WEEKLY", 7).otherwise(1) * F.coalesce(part(2), F.lit(1))
+    count = F.coalesce(part(3), F.lit(CAP + 1))  # without a count, the one behind the cap is the tail
+    begin, stop = (F.unix_micros(F.try_to_timestamp(c)) for c in ("start", "end"))
+    timed = F.col("start").rlike(_ISO) & begin.isNotNull() & ((~F.col("end_given") & F.coalesce("end", F.lit("")).eqNullSafe("")) | (F.col("end").rlike(_ISO) & stop.isNotNull()))
+    # formats follow the session's zone, and texts here are UTC
+    simple = F.coalesce(F.col("recurrence").rlike(_SIMPLE) & (F.coalesce(part(3), F.lit(1)) <= CAP) & (count * step <= 360_000) & timed & F.coalesce(stop - begin < 3650 * 86_400_000_000, F.lit(True)), F.lit(False)) & F.lit(spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"))
+    kind = rows.withColumn("_kind", F.when(F.coalesce("start", F.lit("")) == "", 0).when(none, 1).when(simple, 2).otherwise(3))
+    plain = kind.filter("_kind = 1").select("doc_id", F.lit(0).alias("pos"), "start", "end", "end_given")
+    text = lambda micros: F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    some = kind.filter("_kind = 2").select("doc_id", begin.alias("_a"), (stop - begin).alias("_length"), step.cast("bigint").alias("_step"), F.posexplode(F.sequence(F.lit(0), count - 1)).alias("pos", "_k"))
+    at = F.col("_a") + F.col("_k") * F.col("_step") * F.lit(86_400_000_000)
+    tail = F.col("_k") == CAP
+    some = some.select("doc_id", "pos", text(at).alias("start"), F.when(~tail, text(at + F.col("_length"))).alias("end"), (tail | F.col("_length").isNotNull()).alias("end_given"))
 
     def run(batches):
         for b in batches:
-            rows = [(r["doc_id"], k, *o) for r in b.to_pylist() for k, o in enumerate(occurrences(r["recurrence"], r["start"], r["end"], bool(r["end_given"])))]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
+            out = [(r["doc_id"], k, *o) for r in b.to_pylist() for k, o in enumerate(occurrences(r["recurrence"], r["start"], r["end"], r["end_given"]))]
+            cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "pos", "start", "end", "end_given"])
 
-    return events.select("doc_id", "start", "end", "end_given", "recurrence").mapInArrow(run, "doc_id bigint, pos int, start string, end string, end_given boolean")
+    rest = kind.filter("_kind = 3").drop("_kind").mapInArrow(run, "doc_id bigint, pos int, start string, end string, end_given boolean")
+    return plain.unionByName(some).unionByName(rest)

@@ -1,12 +1,14 @@
 """The document index: all planes of one corpus, and every read and write on them.
 
-Reads return lazy DataFrames. Writes replace the index's tables by new lazy ones; `save` writes them out, after which they are read from
-there, so a chain of writes doesn't grow its lineage.
+Reads return lazy DataFrames. Writes replace the index's tables by new lazy ones: what a batch changes is derived again for its documents
+alone and takes the place of their old rows. `save` writes all planes out and switches to them by one manifest, after which they are read from
+there, so a chain of writes doesn't grow its lineage. Every write appends what it did to the change log.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -18,16 +20,22 @@ from .functions import keys
 from .operators import derive, edges, fts, geo, ingest, membership, ranking, timelines, trees, vectors
 from .plans import compile as plan
 from .plans.spec import Spec, context_for_insert, normalize_match, parse, predicate
+from .session import delete_path, names_in, read_text, write_text, written
 
 #: All planes an index may have.
-TABLES = ("docs", "membership", "timeline_pos", "geo", "edges", "fts", "vectors", "seen", "tombstones", "change_log", "postings", "lengths")
-VERSION = 1
+TABLES = ("docs", "membership", "timeline_pos", "geo", "edges", "fts", "vectors", "seen", "tombstones", "freed", "change_log", "postings", "lengths", "fts_stats")
+VERSION = 2
+#: Versions of an index that save leaves in place: readers of the one before still find their files.
+KEEP = 2
 
 
 class Index:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], tree_list=None, embed: Callable | None = None, tuning: ranking.Tuning | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], tree_list=None, embed: Callable | None = None, tuning: ranking.Tuning | None = None, point_timelines: tuple[str, ...] = ()):
+        """point_timelines: timelines whose positions keep their start only."""
         self.spark, self.tables, self.embed = spark, dict(tables), embed
         self.tuning = tuning or ranking.Tuning.make()
+        self.point_timelines = tuple(n.lower() for n in point_timelines)
+        self.writes = 0
         self.trees: dict[tuple[str, str | None], trees._Tree] = {}
         for t in tree_list or (trees.ContextTree(), trees.DirectoryTree()):
             self.add_tree(t)
@@ -52,7 +60,7 @@ class Index:
             rows = derive.membership(docs, derive.device_facets(docs))
             self.tables["membership"] = rows if keep is None else rows.unionByName(keep.select("key", "doc_id")).distinct()
         if "timeline_pos" in want:
-            self.tables["timeline_pos"] = derive.positions(docs, self.tables.get("tombstones"))
+            self.tables["timeline_pos"] = timelines.as_points(derive.positions(docs, self.tables.get("tombstones")), self.point_timelines)
         if "geo" in want:
             self.tables["geo"] = derive.places(docs)
         if "edges" in want:
@@ -66,25 +74,82 @@ class Index:
         return self
 
     def save(self, path: str) -> Index:
-        """Every plane as Parquet, each replaced in one step and sorted by what it is looked up by."""
+        """Every plane as Parquet in a folder of its own, sorted by what it is looked up by; a new manifest then names all of them at once."""
         order = {"membership": ("key", "doc_id"), "timeline_pos": ("timeline", "scale", "start_v"), "docs": ("doc_id",), "edges": ("from_id", "p", "to_id"), "geo": ("lat",), "vectors": ("space", "model", "doc_id"), "postings": ("gram", "doc_id"), "lengths": ("doc_id",)}
+        if "lengths" in self.tables:
+            self.tables["fts_stats"] = fts.statistics(self.tables["lengths"]).withColumn("signature", F.lit(fts.signature()))
+        folders = {}
         for name, df in self.tables.items():
-            ingest.swap(df.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else df, f"{path}/{name}")
-        meta = {"version": VERSION, "tables": list(self.tables), "trees": [(t.kind, t.to_json()) for t in self._distinct_trees()]}
-        ingest.swap(self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1), f"{path}/meta")
-        return self._read(path, list(self.tables))
-
-    def _read(self, path: str, names) -> Index:
-        self.tables = {n: self.spark.read.parquet(f"{path}/{n}") for n in names}
+            folders[name] = f"{name}/{uuid.uuid4().hex}"
+            (df.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else df).write.parquet(f"{path}/{folders[name]}")
+        held = [n for n in names_in(self.spark, path) if n.startswith("manifest-")]
+        nth = int(held[-1][9:17]) + 1 if held else 1
+        meta = {"version": VERSION, "tables": folders, "trees": [(t.kind, t.to_json()) for t in self._distinct_trees()], "point_timelines": self.point_timelines, "writes": self.writes}
+        write_text(self.spark, f"{path}/manifest-{nth:08d}.json", json.dumps(meta))
+        for name in held[: -KEEP + 1 or None]:
+            try:
+                old = json.loads(read_text(self.spark, f"{path}/{name}"))["tables"].values()
+            except ValueError:
+                old = ()
+            for folder in old:
+                delete_path(self.spark, f"{path}/{folder}")
+            delete_path(self.spark, f"{path}/{name}")
+        return self._read(path, folders)
+
+    def _read(self, path: str, folders: dict[str, str]) -> Index:
+        self.tables = {n: self.spark.read.parquet(f"{path}/{f}") for n, f in folders.items()}
         return self
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> Index:
-        meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
+        """The newest version whose manifest is whole."""
+        meta = None
+        for name in reversed([n for n in names_in(spark, path) if n.startswith("manifest-")]):
+            try:
+                meta = json.loads(read_text(spark, f"{path}/{name}"))
+                break
+            except ValueError:  # the write of this version broke off
+                continue
+        if meta is None:
+            raise ValueError(f"no index in {path}")
         if meta["version"] != VERSION:
             raise ValueError(f"index version {meta['version']}, expected {VERSION}: rebuild it")
         kinds = {"context": trees.ContextTree, "directory": trees.DirectoryTree}
-        return cls(spark, {}, [kinds[k].from_json(text) for k, text in meta["trees"]], **options)._read(path, meta["tables"])
+        out = cls(spark, {}, [kinds[k].from_json(text) for k, text in meta["trees"]], **{"point_timelines": tuple(meta["point_timelines"]), **options})._read(path, meta["tables"])
+        out.writes = meta["writes"]
+        if "fts_stats" in out.tables and out.tables["fts_stats"].first()["signature"] != fts.signature():
+            out.build_postings()  # made by other rules
+        return out
+
+    def clear(self) -> Index:
+        """All planes emptied, trees as new."""
+        self.tables = {n: df.limit(0) for n, df in self.tables.items()}
+        self.trees = {}
+        for t in (trees.ContextTree(), trees.DirectoryTree()):
+            self.add_tree(t)
+        return self
+
+    def publish(self, folder: str) -> Index:
+        """Appends the change log so far to a folder that live sessions follow, and empties it."""
+        if "change_log" in self.tables:
+            self.tables["change_log"].write.mode("append").parquet(folder)
+            self.tables["change_log"] = self.tables["change_log"].limit(0)
+        return self
+
+    def _log(self, rows: DataFrame) -> None:
+        held = self.tables.get("change_log")
+        self.tables["change_log"] = rows if held is None else held.unionByName(rows)
+
+    def _changed(self, before: DataFrame, after: DataFrame, reason: str, doc_ids: DataFrame | None = None, provenance: dict | None = None) -> None:
+        """What a write changed in membership, of some documents, in the change log."""
+        self.writes += 1
+        if doc_ids is not None:
+            before, after = (m.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("key", "doc_id") for m in (before, after))
+        self._log(ingest.changes(before, after, reason, ingest.provenance(provenance).get("origin"), self.writes))
+
+    def _events(self, doc_ids: DataFrame, reason: str, provenance: dict | None = None, tree: str | None = None) -> None:
+        """One event a document, of a tree where one is named, in the change log."""
+        self._log(ingest.events(doc_ids, reason, ingest.provenance(provenance).get("origin"), self.writes, tree))
 
     # -- tables
 
@@ -146,30 +211,49 @@ class Index:
     def get(self, doc_id: int) -> DataFrame:
         return self.docs.filter(F.col("doc_id") == doc_id)
 
-    def get_many(self, ids: list[int]) -> DataFrame:
-        """Rows in the order of ids; unknown ids are left out, repeated ones repeat."""
+    def get_many(self, ids: list[int], pos: str | None = None) -> DataFrame:
+        """Rows in the order of ids, with their place as a column if one is named; unknown ids are left out, repeated ones repeat."""
         order = self.spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "_rank int, doc_id bigint")
-        return self.docs.join(order, "doc_id").orderBy("_rank").drop("_rank")
+        rows = self.docs.join(order, "doc_id").orderBy("_rank")
+        return rows.withColumnRenamed("_rank", pos) if pos else rows.drop("_rank")
+
+    def fetch(self, ids: list[int], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """get_many down to a limit (0 or None: all), and one row with count (of what is returned), total_count (of ids that are there) and missing."""
+        asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id bigint")
+        there = asked.join(self.docs.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("total_count"))
+        data = ranking.page(self.get_many(ids), limit)
+        return data, there.select((F.least("total_count", F.lit(limit)) if limit else F.col("total_count")).alias("count"), "total_count", (F.lit(len(dict.fromkeys(ids))) - F.col("total_count")).alias("missing"))
 
     def by_checksum(self, sums: list[str], schema: str | None = None) -> DataFrame:
         """pos, checksum and doc_id of each checksum, null where there is no such document."""
         asked = self.spark.createDataFrame(list(enumerate(sums)), "pos int, checksum string")
         held = self.docs.filter(F.col("schema") == schema) if schema else self.docs
-        rows = held.select(F.explode("checksums").alias("checksum"), "doc_id").groupBy("checksum").agg(F.max("doc_id").alias("doc_id"))
+        # only the asked ones are grouped
+        rows = held.select(F.explode("checksums").alias("checksum"), "doc_id").join(asked.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.max("doc_id").alias("doc_id"))
         return asked.join(rows, "checksum", "left").select("pos", "checksum", "doc_id").orderBy("pos")
 
     def checksums(self, algorithm: str | None = None) -> DataFrame:
         rows = derive.checksums(self.docs)
         return rows.filter(F.col("checksum").startswith(f"{algorithm}/")) if algorithm else rows
 
-    def has(self, doc_id: int, spec: dict | None = None) -> bool:
-        """Whether a document exists and meets the spec's trees (all of them) and features; other parts of a spec don't count here."""
+    def _having(self, ids: DataFrame, spec: dict | None) -> DataFrame:
+        """Those of some documents that exist and meet the spec's trees (all of them) and features; other parts of a spec don't count here."""
         s = parse(spec)
-        ids = self.docs.select("doc_id").filter(F.col("doc_id") == doc_id)
-        mine = self.tables["membership"].filter(F.col("doc_id") == doc_id)
+        ids = self.docs.select("doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        mine = self.tables["membership"].join(ids, "doc_id", "left_semi")
         for e in s.paths_in:
             ids = plan.matching(mine, ids, plan.path_expression(self.planes, [e]))
-        return not plan.matching(mine, ids, plan.bucket_expression(s.features)).join(ids, "doc_id", "left_semi").limit(1).isEmpty()
+        return plan.matching(mine, ids, plan.bucket_expression(s.features)).join(ids, "doc_id", "left_semi")
+
+    def has(self, doc_id: int, spec: dict | None = None) -> bool:
+        one = self.spark.createDataFrame([(doc_id,)], "doc_id bigint")
+        return not self._having(one, spec).limit(1).isEmpty()
+
+    def has_many(self, doc_ids: DataFrame, spec: dict | None = None) -> DataFrame:
+        """doc_id and present of each asked document."""
+        asked = doc_ids.select("doc_id").distinct()
+        there = self._having(asked, spec).select("doc_id").distinct().withColumn("present", F.lit(True))
+        return asked.join(there, "doc_id", "left").select("doc_id", F.coalesce("present", F.lit(False)).alias("present"))
 
     def has_checksum(self, checksum: str, spec: dict | None = None) -> bool:
         got = self.by_checksum([checksum]).first()
@@ -212,13 +296,26 @@ class Index:
         return self.embed(text, space) if self.embed else None
 
     def build_postings(self) -> Index:
-        """A stored text index; without one, texts are scanned."""
+        """The text index, lazily: it is stored by `save`, or at once by `store_postings`. Without one, texts are scanned."""
         self.tables["postings"], self.tables["lengths"] = fts.postings(self.tables["fts"]), fts.lengths(self.tables["fts"])
+        self.tables.pop("fts_stats", None)
+        return self
+
+    def store_postings(self, folder: str) -> Index:
+        """The text index written to a folder and read from there."""
+        self.build_postings()
+        fts.sorted_postings(self.tables["postings"]).write.parquet(f"{folder}/postings")
+        self.tables["lengths"].write.parquet(f"{folder}/lengths")
+        return self.use_postings(folder)
+
+    def use_postings(self, folder: str) -> Index:
+        self.tables["postings"], self.tables["lengths"] = (self.spark.read.parquet(f"{folder}/{n}") for n in ("postings", "lengths"))
+        self.tables.pop("fts_stats", None)
         return self
 
     def text_scores(self, text: str, scope: DataFrame | None = None) -> DataFrame:
         if "postings" in self.tables:
-            return fts.scores(self.tables["postings"], self.tables["lengths"], text, scope)
+            return fts.scores(self.tables["postings"], self.tables.get("fts_stats", self.tables["lengths"]), text, scope)
         return fts.scan_scores(self.tables["fts"], text, scope)
 
     def _fts(self, text: str, scope: DataFrame | None, limit: int | None) -> DataFrame:
@@ -274,6 +371,13 @@ class Index:
             return ranking.page(only.select("doc_id", score.alias("score")).orderBy(F.col("score").desc(), "doc_id"), limit, offset)
         return ranking.page(ranking.fuse(legs), limit, offset)
 
+    def image_distances(self, text: str, spec: dict | Spec | None = None, n: int = 50, now: datetime | None = None) -> DataFrame:
+        """doc_id and distance of the n (500 at most) nearest images, whatever the floor: what tuning it needs to see."""
+        rows, v = self._space("image"), self._embedded(text, "image")
+        if rows is None or v is None:
+            raise ValueError("no image space, or nothing that embeds into it")
+        return vectors.search(rows, v, self._scope(parse(spec), now), max(1, min(n, 500)))
+
     def _scope(self, s: Spec, now: datetime | None) -> DataFrame | None:
         bare = replace(s, match=None, limit=None, offset=0, sort_by=None)
         return None if plan.key_expression(self.planes, bare) == plan.TRUE and not s.coarse and s.ids is None else self.candidates(bare, now)
@@ -375,6 +479,15 @@ class Index:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def geo_count(self) -> DataFrame:
+        return self.tables["geo"].agg(F.countDistinct("doc_id").alias("n"))
+
+    def embedding_report(self, space: str, schemas: list[str], comments: bool = False) -> DataFrame:
+        """One row: how many documents could be embedded, and how many no embedder has seen."""
+        some = membership.any_of(self.tables["membership"], [*schemas, *([keys.COMMENT] if comments else [])])
+        gap = self.unembedded(space, schemas, comments)
+        return some.agg(F.count("*").alias("total")).crossJoin(gap.agg(F.count("*").alias("gap")))
+
     def unembedded(self, space: str, schemas: list[str], comments: bool = False) -> DataFrame:
         """doc_ids of some schemas (and of commented documents) that no embedder of the space has seen."""
         names = [*schemas, *([keys.COMMENT] if comments else [])]
@@ -407,31 +520,71 @@ class Index:
             out.append(key)
         return list(dict.fromkeys(out))
 
-    def put_many(self, batch: DataFrame, spec: dict | None = None, now: Column | None = None, freed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """A batch upserted and placed; returns (pos, doc_id) and rejected rows."""
+    def put_many(self, batch: DataFrame, spec: dict | None = None, now: Column | None = None, freed: DataFrame | None = None, provenance: dict | None = None, schemas: bool = False) -> tuple[DataFrame, DataFrame]:
+        """A batch upserted and placed; returns (pos, doc_id) and rejected rows. Ids of deleted documents are given out again first.
+
+        Planes are derived for the batch's documents (and for those on a device that it describes) and replace their rows; no other
+        document is derived again. With schemas, rows that break their schema's required fields are rejected too."""
         now = F.current_timestamp() if now is None else now
-        before = self.tables["membership"]
-        self.tables["docs"], ids, rejected = ingest.put_many(self.docs, batch, now, freed)
-        placed = before.filter(F.col("key").startswith("context/") | F.col("key").startswith("vfs/"))
+        freed = self.tables.get("freed") if freed is None else freed
+        stored = self.docs
+        own, ids, rejected = ingest.stage(stored, batch, now, freed, schemas)
         names = self._write_keys(spec)
         features = [k for k in names if not k.startswith(("context/", "vfs/"))]
         if features:
-            mark = F.array(*map(F.lit, features))
-            touched = ids.select("doc_id").distinct().withColumn("_t", F.lit(True))
-            d = self.docs.join(touched, "doc_id", "left")
-            self.tables["docs"] = d.withColumn("features", F.when(F.col("_t"), F.array_union(F.coalesce("features", F.array().cast("array<string>")), mark)).otherwise(F.col("features"))).drop("_t")
-        tree_keys = [k for k in names if k.startswith(("context/", "vfs/"))]
-        if tree_keys:
-            placed = membership.tick(placed, tree_keys, ids.select("doc_id").distinct())
-        self.rebuild(placed=placed)
+            own = own.withColumn("features", F.array_union(F.coalesce("features", F.array().cast("array<string>")), F.array(*map(F.lit, features)))).select(*own.columns)
+        touched = own.select("doc_id")
+        if self.tables.get("freed") is not None:
+            self.tables["freed"] = self.tables["freed"].join(touched, "doc_id", "left_anti")
+        known = touched.join(stored.select("doc_id"), "doc_id", "left_semi")
+        self._refresh(own, [k for k in names if k.startswith(("context/", "vfs/"))], stored, provenance)
+        self._events(touched.join(known, "doc_id", "left_anti"), "created", provenance)
+        self._events(known, "updated", provenance)
         return ids, rejected
 
-    def link(self, doc_ids: DataFrame, spec: dict) -> Index:
-        self.tables["membership"] = membership.tick(self.tables["membership"], self._write_keys(spec, False), doc_ids)
+    def _refresh(self, own: DataFrame, placed: list[str], stored: DataFrame, provenance: dict | None) -> None:
+        """Some documents and their derived planes in place of what they had, and placement under some keys."""
+        self.tables["docs"] = docs = ingest.replaced(stored, own, own)
+        c, touched, old = F.col("key"), own.select("doc_id"), self.tables["membership"].select("key", "doc_id")
+        # a device's facets are on the documents that name it
+        on = own.filter(F.col("schema") == "data/schema/device").select(keys.normalized(F.concat(F.lit("device/id/"), derive.nested("data.deviceId"))).alias("key"))
+        more = written(old.join(on, "key", "left_semi").select("doc_id").unionByName(touched).distinct(), "put-touched")
+        mine = written(old.join(more, "doc_id", "left_semi").select("key", "doc_id"), "put-before")
+        rows = derive.membership(docs.join(more, "doc_id", "left_semi"), derive.device_facets(docs)).unionByName(mine.filter(c.startswith("context/") | c.startswith("vfs/")))
+        if placed:
+            rows = rows.unionByName(touched.select(F.explode(F.array(*map(F.lit, placed))).alias("key"), "doc_id"))
+        rows = written(rows.distinct(), "put-keys")
+        self.tables["membership"] = ingest.replaced(old, rows, more)
+        self._changed(mine, rows, "put", None, provenance)
+        if "timeline_pos" in self.tables:
+            # what a tombstone left of an id given out again goes with the rest
+            self.tables["timeline_pos"] = ingest.replaced(self.tables["timeline_pos"], timelines.as_points(derive.positions(own), self.point_timelines), touched)
+        if "geo" in self.tables:
+            self.tables["geo"] = ingest.replaced(self.tables["geo"], derive.places(own), touched)
+        if "edges" in self.tables:
+            held, made = self.tables["edges"], derive.relations(own)
+            asserted = held.filter(F.col("src").isNull()).join(touched.select(F.col("doc_id").alias("from_id")), "from_id", "left_anti").select(*made.columns)
+            derived = held.filter(F.col("src").isNotNull()).join(made.select("from_id", "p", "to_id"), ["from_id", "p", "to_id"], "left_anti").select(*made.columns)
+            self.tables["edges"] = asserted.unionByName(derived).unionByName(made)
+        if "fts" in self.tables:
+            texts = derive.fts_text(own).select("doc_id", "fts_text")
+            self.tables["fts"] = ingest.replaced(self.tables["fts"], texts, touched)
+            if "postings" in self.tables:
+                # only texts whose checksum, comment or summary changed
+                changed = written(ingest.needs_fts(stored.join(touched, "doc_id", "left_semi"), own), "put-texts")
+                fresh = texts.join(changed, "doc_id", "left_semi")
+                for name, make in (("postings", fts.postings), ("lengths", fts.lengths)):
+                    self.tables[name] = ingest.replaced(self.tables[name], make(fresh), changed)
+                self.tables.pop("fts_stats", None)
+
+    def link(self, doc_ids: DataFrame, spec: dict, provenance: dict | None = None) -> Index:
+        before, doc_ids = self.tables["membership"], written(doc_ids.select("doc_id").distinct(), "link")
+        self.tables["membership"] = membership.tick(before, self._write_keys(spec, False), doc_ids)
+        self._changed(before, self.tables["membership"], "linked", doc_ids, provenance)
         return self
 
-    def unlink(self, doc_ids: DataFrame, spec: dict) -> Index:
-        """Placement (the leaf, or with recursive all of a path or folder) and features taken away."""
+    def unlink(self, doc_ids: DataFrame, spec: dict, provenance: dict | None = None) -> DataFrame:
+        """Placement (the leaf, or with recursive all of a path or folder) and features taken away. Returns doc_id, ok and reason of each document."""
         gone: list[str] = []
         for kind in ("context", "directory"):
             given = spec.get(kind)
@@ -439,26 +592,34 @@ class Index:
                 given = given if isinstance(given, dict) else {"path": given}
                 gone += self.tree(kind, given.get("tree")).unlink_keys(given.get("path") or "/", bool(given.get("recursive", spec.get("recursive"))))
         gone += [keys.make(str(f).lstrip("+!")) for f in spec.get("features") or []]
-        self.tables["membership"] = membership.untick(self.tables["membership"], gone, doc_ids)
-        return self
+        before, doc_ids = self.tables["membership"], written(doc_ids.select("doc_id").distinct(), "unlink")
+        self.tables["membership"] = membership.untick(before, gone, doc_ids)
+        self._changed(before, self.tables["membership"], "unlinked", doc_ids, provenance)
+        return ingest.outcome(doc_ids, self.docs, before.filter(F.col("key").isin(*gone)) if gone else before.limit(0))
 
-    def delete(self, doc_ids: DataFrame, now: Column | None = None) -> Index:
-        """Documents and all that derives from them; a tombstone each stays."""
+    def delete(self, doc_ids: DataFrame, now: Column | None = None, provenance: dict | None = None) -> DataFrame:
+        """Documents and all that derives from them; a tombstone each stays and their ids can be given out again. Returns doc_id, ok and reason of each."""
         now = F.current_timestamp() if now is None else now
-        self.tables["docs"], self.tables["membership"], stones = ingest.delete(self.docs, self.tables["membership"], doc_ids, now)
+        before, docs, doc_ids = self.tables["membership"], self.docs, written(doc_ids.select("doc_id").distinct(), "delete")
+        self.tables["docs"], self.tables["membership"], stones = ingest.delete(docs, before, doc_ids, now)
         held = self.tables.get("tombstones")
         self.tables["tombstones"] = stones if held is None else held.unionByName(stones)
-        gone = doc_ids.select("doc_id").distinct()
+        freed = self.tables.get("freed")
+        self.tables["freed"] = stones.select("doc_id") if freed is None else freed.unionByName(stones.select("doc_id")).distinct()
+        gone = doc_ids
         for name in ("timeline_pos", "geo", "fts", "vectors", "seen", "postings", "lengths"):
             if name in self.tables:
-                self.tables[name] = self.tables[name].join(gone, "doc_id", "left_anti")
+                self.tables[name] = self.tables[name].join(gone, "doc_id", "left_anti").select(*self.tables[name].columns)
+        self.tables.pop("fts_stats", None)
         if "timeline_pos" in self.tables:
             from .functions.time import timestamp_value
 
             self.tables["timeline_pos"] = self.tables["timeline_pos"].unionByName(timelines.positions(stones, "crud:deleted", "second", timestamp_value(F.col("deleted_at"), "second"), primary=F.lit(True)))
         if "edges" in self.tables:
             self.tables["edges"] = edges.delete_nodes(self.tables["edges"], gone)
-        return self
+        self._changed(before, self.tables["membership"], "deleted", gone, provenance)
+        self._events(stones.select("doc_id"), "deleted", provenance)
+        return ingest.outcome(doc_ids, docs)
 
     def delete_dataset(self, name: str, drop_documents: bool = False) -> Index:
         key = keys.normalize(keys.DATASET + name)

@@ -4,8 +4,8 @@ Tokens are runs of letters and digits, lower-cased and folded to ASCII where tha
 characters are the terms. A query token matches where all its grams occur; a query matches where any of its tokens does. The score sums
 BM25 over the grams of the matched tokens; document frequency and mean length are those of the whole corpus, whatever the scope.
 
-Scores come from a stored index (`postings`, best written out sorted by gram, and `lengths`) or, where texts have none, from
-scanning them for the query's own grams alone (`scan_scores`).
+Scores come from a stored index: postings (gram, doc_id, tf and the text's length, sorted by gram, so that a query reads its own grams' pages
+alone) and lengths. Texts without an index can be scanned for the query's own grams (`scan_scores`), which reads all of them.
 """
 
 from __future__ import annotations
@@ -92,11 +92,17 @@ def lengths(texts: DataFrame, text: str = "fts_text") -> DataFrame:
 
 
 def postings(texts: DataFrame, text: str = "fts_text") -> DataFrame:
-    """gram, doc_id and tf of a whole corpus; counted inside each document, so nothing is shuffled until it is written by gram."""
+    """gram, doc_id, tf and len (the number of grams of the text) of every gram of every text."""
     cut = lambda x, n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, n))).otherwise(F.array().cast("array<string>"))
-    rows = texts.select("doc_id", F.explode(_tokens(folded(F.col(text)))).alias("t"))
-    rows = rows.select("doc_id", F.explode(F.concat(*(cut(F.col("t"), n) for n in SIZES))).alias("gram"))
-    return rows.groupBy("gram", "doc_id").agg(F.count("*").alias("tf"))
+    rows = texts.select("doc_id", _once(folded(F.col(text)), lambda c: F.struct(_tokens(c).alias("t"), _length(c).alias("len"))).alias("f"))
+    rows = rows.select("doc_id", "f.len", F.explode("f.t").alias("t"))
+    rows = rows.select("doc_id", "len", F.explode(F.concat(*(cut(F.col("t"), n) for n in SIZES))).alias("gram"))
+    return rows.groupBy("gram", "doc_id", "len").agg(F.count("*").alias("tf")).select("gram", "doc_id", "tf", "len")
+
+
+def sorted_postings(posts: DataFrame) -> DataFrame:
+    """Postings as they are to be written: ranges of (gram, doc_id), so that a gram however common is spread over files and a rare one is in few pages."""
+    return posts.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id")
 
 
 def query_grams(query: str) -> list[str]:
@@ -123,21 +129,31 @@ def _matched(query: str, present) -> tuple[Column, dict[str, Column]]:
     return some, counted
 
 
+def any_of(column: Column, values: list[str]) -> Column:
+    """column IN values as a tree of equalities: long IN lists reach a Parquet scan as no more than their least and greatest value."""
+    tests = [column == v for v in values]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + ([tests[-1]] if len(tests) % 2 else [])
+    return tests[0]
+
+
 def scores(posts: DataFrame, lens: DataFrame, query: str, scope: DataFrame | None = None) -> DataFrame:
-    """doc_id and score of every match inside the scope, from a stored index; no usable token gives no match."""
-    wanted = query_grams(query)
+    """doc_id and score of every match inside the scope, from a stored index; no usable token gives no match. lens: lengths, or their statistics."""
+    wanted = sorted(query_grams(query))
     if not wanted:
         return posts.sparkSession.createDataFrame([], "doc_id bigint, score double")
-    hits = posts.filter(F.col("gram").isin(*wanted))
+    hits = posts.filter(any_of(F.col("gram"), wanted))
     df = hits.groupBy("gram").agg(F.count("*").alias("df"))
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
     # df has one row a gram of the query, the statistics have one row
-    rows = hits.join(F.broadcast(df), "gram").join(lens, "doc_id").crossJoin(F.broadcast(statistics(lens)))
+    facts = lens if "mean_len" in lens.columns else statistics(lens)
+    rows = hits.join(F.broadcast(df), "gram").crossJoin(F.broadcast(facts))
     part = _part(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("mean_len"))
-    per_doc = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", part.alias("s")))).alias("m"))
-    some, counted = _matched(query, lambda g: F.map_contains_key("m", F.lit(g)))
-    total = reduce(lambda a, b: a + b, (F.when(counted[g], F.col("m")[g]).otherwise(F.lit(0.0)) for g in sorted(counted)))
+    per_doc = rows.groupBy("doc_id").agg(*(F.max(F.when(F.col("gram") == g, part)).alias(f"g{k}") for k, g in enumerate(wanted)))
+    at = {g: F.col(f"g{k}") for k, g in enumerate(wanted)}
+    some, counted = _matched(query, lambda g: at[g].isNotNull())
+    total = reduce(lambda a, b: a + b, (F.when(counted[g], at[g]).otherwise(F.lit(0.0)) for g in sorted(counted)))
     return per_doc.filter(some).select("doc_id", total.alias("score"))
 
 
@@ -168,6 +184,11 @@ def ranked(scored: DataFrame, limit: int | None = None, offset: int = 0) -> Data
     return out if not limit else out.limit(limit)
 
 
+def signature() -> str:
+    """What the index depends on; an index of another signature has to be built again."""
+    return f"sizes={','.join(map(str, SIZES))};max={MAX_TOKEN};fold={len(FROM)};pairs={len(_PAIRS)}"
+
+
 def upsert(texts: DataFrame, new: DataFrame) -> DataFrame:
     """texts with the rows of new in place of their own."""
     return texts.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new.select(*texts.columns))

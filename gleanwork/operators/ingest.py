@@ -6,15 +6,13 @@ planes follow from the merged docs.
 
 from __future__ import annotations
 
-import shutil
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys
+from ..schemas import REGISTRY
+from ..session import delete_path, filesystem, names_in, written
 from . import derive
 
 FIRST_ID = 100_001
@@ -64,8 +62,10 @@ def dedup_batch(batch: DataFrame, order: str = "pos") -> DataFrame:
 
 def resolve(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """The batch with the doc_id of the stored document of the same schema and primary checksum, where a row has no id of its own."""
-    have = stored.select("schema", F.explode("checksums").alias("_cs"), F.col("doc_id").alias("_known")).groupBy("schema", "_cs").agg(F.max("_known").alias("_known"))
-    rows = batch.withColumn("_cs", primary(F.col("checksums"))).join(have, ["schema", "_cs"], "left")
+    rows = batch.withColumn("_cs", primary(F.col("checksums")))
+    # only checksums of the batch are grouped
+    have = stored.select("schema", F.explode("checksums").alias("_cs"), F.col("doc_id").alias("_known")).join(rows.select("schema", "_cs").distinct(), ["schema", "_cs"], "left_semi")
+    rows = rows.join(have.groupBy("schema", "_cs").agg(F.max("_known").alias("_known")), ["schema", "_cs"], "left")
     return rows.withColumn("doc_id", F.coalesce("doc_id", "_known")).drop("_cs", "_known")
 
 
@@ -84,19 +84,48 @@ def merge(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     return both.select(*(out.get(c, pick(c)).alias(c) for c in stored.columns))
 
 
-def put_many(stored: DataFrame, batch: DataFrame, now: Column, freed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A batch (docs columns and pos) into stored: the new docs, the batch's (pos, doc_id), and rejected rows with the reason."""
+def problem(schemas: bool = False) -> Column:
+    """Why a row can't be stored, or null: no schema, no data, a negative id and, with schemas, a schema that isn't known, data that is no
+    JSON object, or a required field that is missing."""
     why = F.when(F.coalesce(F.trim("schema"), F.lit("")) == "", "no schema").when(F.col("data").isNull() & F.col("doc_id").isNull(), "no data").when(F.coalesce(F.col("doc_id"), F.lit(0)) < 0, "negative id")
-    judged = derive.with_checksums(batch).withColumn("reason", why)
+    if not schemas:
+        return why
+    known = F.lit(False)
+    for s in REGISTRY.all():
+        known = known | (F.col("schema") == s.id) | F.col("schema").startswith(s.id + "/")
+    why = why.when(~known, "unknown schema").when(F.col("data").isNotNull() & F.json_object_keys("data").isNull(), "data is no JSON object")
+    for s in sorted(REGISTRY.all(), key=lambda s: -len(s.id)):
+        hit = (F.col("schema") == s.id) | F.col("schema").startswith(s.id + "/")
+        for field in s.required:
+            why = why.when(hit & F.col("data").isNotNull() & F.get_json_object("data", f"$.{field}").isNull(), f"{s.id} needs {field}")
+    return why
+
+
+def stage(stored: DataFrame, batch: DataFrame, now: Column, freed: DataFrame | None = None, schemas: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch (docs columns and pos) against what is stored: the documents as they are afterwards, the batch's (pos, doc_id), and rejected rows
+    with the reason. The batch with its ids and the merged documents are written out, as every plane needs them."""
+    judged = derive.with_checksums(batch).withColumn("reason", problem(schemas))
     good = judged.filter("reason is null").drop("reason")
     named = good.withColumn("_first", F.min("pos").over(Window.partitionBy("schema", primary(F.col("checksums")))))
     one = resolve(dedup_batch(good), stored)
     known = one.filter(F.col("doc_id").isNotNull())
     fresh = allocate(one.filter(F.col("doc_id").isNull()), stored.select("doc_id").unionByName(known.select("doc_id")), ["pos"], freed)
-    incoming = known.unionByName(fresh.select(*known.columns))
-    ids = named.select("pos", F.col("_first").alias("_p")).join(incoming.select(F.col("pos").alias("_p"), "doc_id"), "_p").select("pos", "doc_id")
+    incoming = written(known.unionByName(fresh.select(*known.columns)), "put-batch")
+    ids = written(named.select("pos", F.col("_first").alias("_p")).join(incoming.select(F.col("pos").alias("_p"), "doc_id"), "_p").select("pos", "doc_id"), "put-ids")
     latest = incoming.withColumn("_l", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("pos").desc()))).filter("_l = 1").drop("_l", "pos")
-    return merge(stored, latest, now), ids, judged.filter("reason is not null")
+    own = written(merge(stored.join(latest.select("doc_id"), "doc_id", "left_semi").select(*stored.columns), latest, now), "put-docs")
+    return own, ids, judged.filter("reason is not null")
+
+
+def put_many(stored: DataFrame, batch: DataFrame, now: Column, freed: DataFrame | None = None, schemas: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The new docs, the batch's (pos, doc_id), and rejected rows with the reason."""
+    own, ids, rejected = stage(stored, batch, now, freed, schemas)
+    return replaced(stored, own, own), ids, rejected
+
+
+def replaced(table: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """table with rows in place of those of some documents."""
+    return table.join(ids.select("doc_id"), "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
 
 
 def put_paths(stored: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,10 +167,37 @@ def delete_dataset(docs: DataFrame, membership: DataFrame, name: str, now: Colum
     return docs, rest, docs.select("doc_id").filter(F.lit(False)).withColumn("deleted_at", now)
 
 
-def changes(before: DataFrame, after: DataFrame, reason: str, origin: str | None = None) -> DataFrame:
+def provenance(given: dict | None) -> dict:
+    """Of what a caller says about the cause of a write, the fields that are kept: origin, causedBy and depth."""
+    return {k: v for k, v in (given or {}).items() if k in ("origin", "causedBy", "depth") and v is not None}
+
+
+def _event_id(write: int, *parts) -> Column:
+    """The same for the same change, however often it is worked out."""
+    return F.sha1(F.concat_ws("|", F.lit(str(write)), *(F.coalesce(c.cast("string"), F.lit("")) for c in parts)))
+
+
+def changes(before: DataFrame, after: DataFrame, reason: str, origin: str | None = None, write: int = 0) -> DataFrame:
     """change_log rows (event_id, doc_id, op, key, reason, origin) between two versions of membership."""
-    rows = after.exceptAll(before).withColumn("op", F.lit("add")).unionByName(before.exceptAll(after).withColumn("op", F.lit("remove")))
-    return rows.select(F.expr("uuid()").alias("event_id"), "doc_id", "op", "key", F.lit(reason).alias("reason"), F.lit(origin).cast("string").alias("origin"))
+    cols = ("key", "doc_id")
+    rows = after.select(*cols).exceptAll(before.select(*cols)).withColumn("op", F.lit("add")).unionByName(before.select(*cols).exceptAll(after.select(*cols)).withColumn("op", F.lit("remove")))
+    return rows.select(_event_id(write, F.col("op"), F.col("key"), F.col("doc_id")).alias("event_id"), "doc_id", "op", "key", F.lit(reason).alias("reason"), F.lit(origin).cast("string").alias("origin"))
+
+
+def events(doc_ids: DataFrame, reason: str, origin: str | None = None, write: int = 0, tree: str | None = None) -> DataFrame:
+    """change_log rows of whole documents, op 'document', or 'tree' with the tree as key where one is named."""
+    op = "document" if tree is None else "tree"
+    return doc_ids.select("doc_id").distinct().select(_event_id(write, F.lit(op + reason), F.lit(tree), F.col("doc_id")).alias("event_id"), "doc_id", F.lit(op).alias("op"), F.lit(tree).cast("string").alias("key"), F.lit(reason).alias("reason"), F.lit(origin).cast("string").alias("origin"))
+
+
+def outcome(doc_ids: DataFrame, docs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """doc_id, ok and reason of each asked document of a batch: whether it is there and, given members, is one of them."""
+    rows = doc_ids.select("doc_id").distinct().join(docs.select("doc_id").distinct().withColumn("_there", F.lit(True)), "doc_id", "left")
+    why = F.when(F.col("_there").isNull(), "no such document")
+    if members is not None:
+        rows = rows.join(members.select("doc_id").distinct().withColumn("_in", F.lit(True)), "doc_id", "left")
+        why = why.when(F.col("_in").isNull(), "not linked")
+    return rows.select("doc_id", why.isNull().alias("ok"), why.alias("reason"))
 
 
 def needs_fts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -151,27 +207,17 @@ def needs_fts(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id")
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """A table replaced in one step: written beside the old one, then renamed. Readers see the old or the new."""
-    spark: SparkSession = df.sparkSession
-    jvm = spark._jvm
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = fs_path(f"{path}.old-{uuid.uuid4().hex}")
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), old)
-    if not fs.rename(fs_path(new), fs_path(path)):
-        raise OSError(f"can't rename to {path}")
-    fs.delete(old, True)
-
-
-def backup(source: str, folder: str, stamp: str, keep: int = 7) -> list[str]:
-    """A dated copy of a folder of tables on a local file system; of the copies the latest `keep` stay."""
-    target = Path(folder) / stamp
-    shutil.copytree(source, target)
-    held = sorted(p for p in Path(folder).iterdir() if p.is_dir())
-    for p in held[:-keep]:
-        shutil.rmtree(p)
-    return [str(p) for p in held[-keep:]]
+def backup(spark: SparkSession, source: str, folder: str, stamp: str, keep: int = 7, oldest: str | None = None) -> list[str]:
+    """A dated copy of a folder of tables, on any Hadoop file system; of the copies the latest `keep` stay, of those none whose stamp sorts before `oldest`."""
+    fs, where = filesystem(spark, source)
+    to, target = filesystem(spark, f"{folder}/{stamp}")
+    if to.exists(target):
+        raise FileExistsError(f"{folder}/{stamp}")
+    to.mkdirs(target.getParent())
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, to, target, False, spark._jsc.hadoopConfiguration())
+    held = names_in(spark, folder)
+    stay = [n for n in held[-keep:] if oldest is None or n >= oldest]
+    for name in held:
+        if name not in stay:
+            delete_path(spark, f"{folder}/{name}")
+    return [f"{folder}/{n}" for n in stay]

@@ -40,10 +40,18 @@ class Tuning:
         return out
 
 
-def leg(hits: DataFrame, *order, depth: int | None = None) -> DataFrame:
-    """doc_id and rank of hits in an order, down to a depth."""
-    rows = hits if depth is None else hits.orderBy(*order).limit(depth)
-    return rows.select("doc_id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
+def leg(hits: DataFrame, *order, depth: int | None = None, slices: int = 64) -> DataFrame:
+    """doc_id and rank of hits in an order, down to a depth. Without a depth ranks are given in two levels, an offset for each slice of the scores (a
+    slices-th of a unit of score or distance) and a place inside it, so that no task sorts all hits."""
+    if depth is not None:
+        rows = hits.orderBy(*order).limit(depth)
+        return rows.select("doc_id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
+    by = F.floor(-F.col("score") * slices) if "score" in hits.columns else F.floor(F.col("distance") * slices)
+    rows = hits.withColumn("_slice", by)
+    sizes = rows.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = sizes.select("_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1
+    return rows.withColumn("_nth", nth).join(before, "_slice").select("doc_id", (F.col("_nth") + F.col("_before")).alias("rank"))
 
 
 def depth_for(limit: int, offset: int = 0) -> int:

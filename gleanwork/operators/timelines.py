@@ -62,6 +62,15 @@ def from_entries(entries: DataFrame) -> DataFrame:
     return parsed.withColumn("is_primary", first == 1).drop("pos")
 
 
+def as_points(pos: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Positions of which some timelines keep the start only; what is open at its start has none and goes."""
+    if not names:
+        return pos
+    point = F.col("timeline").isin(*(n.lower() for n in names))
+    out = pos.filter(~(point & F.col("open_start")))
+    return out.withColumns({"end_v": F.when(point, F.col("start_v")).otherwise(F.col("end_v")), "open_end": ~point & F.col("open_end")}).select(*pos.columns)
+
+
 def on(names: str | list[str]) -> Column:
     """Rows of a timeline, of several, or of all ('*' or 'all')."""
     if names in ("*", "all"):
@@ -86,22 +95,14 @@ def overlaps(bounds: dict[str, tuple[int | None, int | None]], scales: list[str]
 def query(pos: DataFrame, names, start, end=t.ABSENT, mode: str = "union", scales: list[str] | None = None) -> DataFrame:
     """Documents whose positions meet a range.
 
-    mode 'union': doc_id; 'grouped': timeline and doc_ids, every named timeline present; 'layers': timeline, layer (a primary
-    position's scale, or 'multi') and doc_ids."""
+    mode 'union': doc_id; 'grouped': timeline and doc_id; 'layers': timeline, layer (a primary position's scale, or 'multi') and
+    doc_id. Each row once; a group is as many rows as it has documents, never one row."""
     hits = pos.filter(on(names) & overlaps(t.query_bounds(start, end), [t.scale_of(s) for s in scales] if scales else None))
-    if mode == "union":
-        return hits.select("doc_id").distinct()
-    if mode == "grouped":
-        got = hits.groupBy("timeline").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-        if names in ("*", "all"):
-            asked = pos.select("timeline").distinct()
-        else:
-            asked = pos.sparkSession.createDataFrame([(n.lower(),) for n in ([names] if isinstance(names, str) else names)], "timeline string")
-        return asked.join(got, "timeline", "left").select("timeline", F.coalesce("doc_ids", F.array().cast("array<bigint>")).alias("doc_ids"))
-    if mode == "layers":
-        layer = F.when(F.col("is_primary"), F.col("scale")).otherwise(F.lit("multi"))
-        return hits.groupBy("timeline", layer.alias("layer")).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-    raise ValueError(f"mode is union, grouped or layers, not {mode!r}")
+    layer = F.when(F.col("is_primary"), F.col("scale")).otherwise(F.lit("multi")).alias("layer")
+    columns = {"union": ("doc_id",), "grouped": ("timeline", "doc_id"), "layers": ("timeline", layer, "doc_id")}
+    if mode not in columns:
+        raise ValueError(f"mode is union, grouped or layers, not {mode!r}")
+    return hits.select(*columns[mode]).distinct()
 
 
 def histogram(pos: DataFrame, names, buckets: list[tuple], within: DataFrame | None = None) -> DataFrame:
@@ -149,6 +150,16 @@ def open_extent(pos: DataFrame) -> DataFrame:
     return pos.withColumn("side", side).filter(F.col("side").isNotNull()).groupBy("doc_id", "timeline", "scale", "side").agg(F.min(F.when(F.col("open_end"), F.col("start_v"))).alias("start_v"), F.max(F.when(F.col("open_start"), F.col("end_v"))).alias("end_v"))
 
 
+def counts(pos: DataFrame) -> DataFrame:
+    """timeline and n of every timeline."""
+    return pos.groupBy("timeline").agg(F.countDistinct("doc_id").alias("n"))
+
+
+def values(pos: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """doc_id, scale, start_v and end_v of the positions that some documents have on a timeline."""
+    return pos.filter(on(name)).join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "scale", "start_v", "end_v")
+
+
 def remove(pos: DataFrame, doc_ids: DataFrame, name: str | None = None) -> DataFrame:
     """Positions without those of some documents, on one timeline or on all."""
     gone = doc_ids.select("doc_id")

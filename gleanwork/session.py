@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def session(app: str = "gleanwork", master: str | None = None, **conf) -> SparkSession:
@@ -40,3 +44,62 @@ def attach(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as one of its own."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, gone when the application ends. Where that is unset, in a temporary folder, but only for a
+    driver that is its own executor: machines of a cluster share none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="gleanwork-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        base = _own[app]
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, where = filesystem(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def written(df, name: str):
+    """df written to the scratch folder and read from there: what a write needs several times is worked out once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, where = filesystem(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = filesystem(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    fs, where = filesystem(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, where = filesystem(spark, path)
+    fs.delete(where, True)
