@@ -511,10 +511,13 @@ def membership_inherit(spark, sf):
 # -- derivations
 
 
-@query("SELECT 'data/mime/text' AS key, page_id AS doc_id FROM pages UNION ALL SELECT 'data/mime/text/html', page_id FROM pages")
+@query("""SELECT unnest(['data/mime/text', 'data/mime/text/html']) AS key, page_id AS doc_id FROM pages WHERE page_id % 4 = 0
+UNION ALL SELECT unnest(['data/mime/image', 'data/mime/image/' || CASE WHEN html IS NULL THEN 'none' ELSE 'svg_xml' END]), page_id FROM pages WHERE page_id % 4 = 1""")
 def mime_keys(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select(F.explode(keys.mime_keys(F.lit("Text/HTML; charset=utf-8"))).alias("key"), F.col("page_id").alias("doc_id"))
+    """The JSON default and a malformed type give no key."""
+    n = F.col("page_id") % 4
+    kind = F.when(n == 0, "Text/HTML; charset=utf-8").when(n == 1, F.concat(F.lit("image/"), F.when(F.col("html").isNull(), "none").otherwise("svg xml"))).when(n == 2, "application/json").otherwise("broken")
+    return table(spark, sf, "pages").select(F.explode(keys.mime_keys(kind)).alias("key"), F.col("page_id").alias("doc_id"))
 
 
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
@@ -663,9 +666,9 @@ def recurrence_expand(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events),
-d AS (SELECT event_id, t, t + k * INTERVAL 1 DAY AS at FROM e, range(60) AS x(k) WHERE k = 0 OR isodow(t + k * INTERVAL 1 DAY) IN (1, 3)),
-o AS (SELECT event_id, at, row_number() OVER (PARTITION BY event_id ORDER BY at) - 1 AS pos FROM d WHERE at <= TIMESTAMP '2024-02-15 23:59:59')
-SELECT event_id AS doc_id, pos::INTEGER AS pos, strftime(at, {_FMT}) AS start, NULL::VARCHAR AS "end", FALSE AS end_given FROM o
+d AS (SELECT event_id, t, t + k * INTERVAL 1 DAY AS w FROM e, range(60) AS x(k) WHERE k = 0 OR isodow(t + k * INTERVAL 1 DAY) IN (1, 3)),
+o AS (SELECT event_id, w, row_number() OVER (PARTITION BY event_id ORDER BY w) - 1 AS pos FROM d WHERE w <= TIMESTAMP '2024-02-15 23:59:59')
+SELECT event_id AS doc_id, pos::INTEGER AS pos, strftime(w, {_FMT}) AS start, NULL::VARCHAR AS "end", FALSE AS end_given FROM o
 UNION ALL SELECT event_id, 0, strftime(t, {_FMT}), '2024-02-15T23:59:59', TRUE FROM e WHERE t > TIMESTAMP '2024-02-15 23:59:59'""")
 def recurrence_byday_until(spark, sf):
     return _recurring(spark, sf, F.lit("FREQ=WEEKLY;BYDAY=MO,WE;UNTIL=20240215"))
@@ -680,8 +683,8 @@ def recurrence_tail(spark, sf):
 
 @query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events),
 m AS (SELECT event_id, k, make_date(year(t)::BIGINT + (month(t) - 1 + k) // 12, (month(t) - 1 + k) % 12 + 1, 1) AS first, t FROM e, range(30) AS x(k)),
-o AS (SELECT event_id, first + (day(t) - 1) * INTERVAL 1 DAY + (t - date_trunc('day', t)) AS at, row_number() OVER (PARTITION BY event_id ORDER BY k) AS n FROM m WHERE day(t) <= day(last_day(first)))
-SELECT event_id AS doc_id, (n - 1)::INTEGER AS pos, strftime(at, {_FMT}) AS start, NULL::VARCHAR AS "end", FALSE AS end_given FROM o WHERE n <= 12""")
+o AS (SELECT event_id, first + (day(t) - 1) * INTERVAL 1 DAY + (t - date_trunc('day', t)) AS w, row_number() OVER (PARTITION BY event_id ORDER BY k) AS n FROM m WHERE day(t) <= day(last_day(first)))
+SELECT event_id AS doc_id, (n - 1)::INTEGER AS pos, strftime(w, {_FMT}) AS start, NULL::VARCHAR AS "end", FALSE AS end_given FROM o WHERE n <= 12""")
 def recurrence_monthly(spark, sf):
     """Months without the day are skipped."""
     return _recurring(spark, sf, F.lit("FREQ=MONTHLY;COUNT=12"))
@@ -935,14 +938,15 @@ def geo_cell(spark, sf):
 # -- sessions
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id AS doc_id FROM events WHERE ts < TIMESTAMP '2024-01-11' AND event_type = (SELECT min(event_type) FROM events)),
-b AS (SELECT DISTINCT user_id AS doc_id FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND event_type = (SELECT min(event_type) FROM events))
-SELECT 'added' AS op, doc_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'removed', doc_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+@query("""WITH k AS (SELECT DISTINCT event_type, user_id, ts < TIMESTAMP '2024-01-11' AS early FROM events), m AS (SELECT dense_rank() OVER (ORDER BY event_type) * 1000000000 + user_id AS doc_id, early FROM k)
+SELECT CASE WHEN bool_or(early) THEN 'removed' ELSE 'added' END AS op, doc_id FROM m GROUP BY doc_id HAVING bool_or(early) = bool_and(early)""")
 def session_delta(spark, sf):
+    """Which (event type, user) pairs came and went between two halves of the events."""
     e = table(spark, sf, "events")
-    kind = e.agg(F.min("event_type").alias("k"))
-    mine = e.crossJoin(F.broadcast(kind)).filter(F.col("event_type") == F.col("k"))
-    a, b = (mine.filter(c).select(F.col("user_id").alias("doc_id")).distinct() for c in (F.col("ts") < "2024-01-11", F.col("ts") >= "2024-01-11"))
+    kinds = {r[0]: k + 1 for k, r in enumerate(e.select("event_type").distinct().orderBy("event_type").collect())}
+    number = F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("event_type"))
+    mine = e.select((number.cast("bigint") * F.lit(1_000_000_000) + F.col("user_id")).cast("bigint").alias("doc_id"), "ts")
+    a, b = (mine.filter(c).select("doc_id").distinct() for c in (F.col("ts") < "2024-01-11", F.col("ts") >= "2024-01-11"))
     return live.delta(a, b)
 
 

@@ -242,7 +242,7 @@ class Index:
         ids = self.docs.select("doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
         mine = self.tables["membership"].join(ids, "doc_id", "left_semi")
         for e in s.paths_in:
-            ids = plan.matching(mine, ids, plan.path_expression(self.planes, [e]))
+            ids = plan.matching(mine, ids, plan.path_expression(self.planes, [e])).join(ids, "doc_id", "left_semi")
         return plan.matching(mine, ids, plan.bucket_expression(s.features)).join(ids, "doc_id", "left_semi")
 
     def has(self, doc_id: int, spec: dict | None = None) -> bool:

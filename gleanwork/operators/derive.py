@@ -103,6 +103,14 @@ def fts_text(docs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
     return rows.filter(F.col("fts_text") != "")
 
 
+def embedding_text(docs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
+    """doc_id, schema, field and text: the fields of each document that an embedder is given, one row each, empty ones left out."""
+    one = lambda f: F.struct(F.lit(f).alias("field"), F.trim(nested(f).cast("string")).alias("text"))
+    none = F.array().cast("array<struct<field:string,text:string>>")
+    fields = _by_schema(registry, lambda s: F.array(*map(one, s.embed or s.fts)) if s.embed or s.fts else None, none)
+    return docs.select("doc_id", "schema", F.explode(fields).alias("e")).select("doc_id", "schema", "e.field", "e.text").filter(~F.col("text").isin("", "{}", "[]"))
+
+
 def timeline_entries(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, name, scale, start, end, end_given, is_primary, ref): the entries of rows, then due dates of tasks and occurrences of events."""
     listed = docs.select("doc_id", F.posexplode("timelines").alias("pos", "t")).select("doc_id", "pos", "t.*").withColumn("is_primary", F.coalesce("is_primary", F.lit(False))).withColumn("end_given", F.coalesce("end_given", F.col("end").isNotNull()))

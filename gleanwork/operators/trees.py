@@ -153,6 +153,12 @@ class _Tree:
         node = self.node(path)
         return sorted(c.name for c in node.children) if node else []
 
+    def find(self, name: str, under: str = "/", limit: int | None = None) -> list[str]:
+        """Paths of nodes whose name holds a text, below a path, in order."""
+        prefix = under.rstrip("/") + "/"
+        out = sorted(p for p in self.paths() if p.startswith(prefix) and name.lower() in p.rsplit("/", 1)[-1].lower())
+        return out if limit is None else out[:limit]
+
     def path_of(self, layer_id: str) -> str | None:
         return next((p for p, n in self.walk() if n.layer.id == layer_id), None)
 
@@ -316,6 +322,27 @@ class DirectoryTree(_Tree):
         return out
 
 
+def _layer_keys(tree: _Tree, names: list[str]) -> list[str]:
+    layers = [tree.layer(n) for n in names]
+    if None in layers:
+        raise KeyError(f"no layer {names[layers.index(None)]}")
+    return [tree.key(x) for x in layers]
+
+
+def merge_layer(membership: DataFrame, tree: ContextTree, name: str, into: list[str]) -> DataFrame:
+    """The documents of a layer added to others."""
+    from .membership import merge
+
+    return merge(membership, _layer_keys(tree, [name])[0], _layer_keys(tree, into))
+
+
+def subtract_layer(membership: DataFrame, tree: ContextTree, name: str, of: list[str]) -> DataFrame:
+    """The documents of a layer taken from others."""
+    from .membership import subtract
+
+    return subtract(membership, _layer_keys(tree, [name])[0], _layer_keys(tree, of))
+
+
 def copy_members(membership: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Membership with the ids of each old key under its new key too."""
     spark = membership.sparkSession

@@ -22,6 +22,7 @@ class Schema:
     subtype: str | None = None
     merge: tuple[str, ...] = ()  # map fields that merge on dedup instead of being replaced
     supplied_checksum: bool = False
+    embed: tuple[str, ...] = ()  # fields for an embedder; those of the text index where none are named
 
     def struct(self) -> str:
         return ", ".join(f"`{n}` {t}" for n, t in self.fields)
@@ -88,6 +89,11 @@ class Registry:
         known = dict(s.fields)
         return self.register(replace(s, fields=tuple({**known, **dict(fields)}.items())))
 
+    def describe(self, id: str) -> dict:
+        """A schema's descriptor: tier, fields, required ones and what is indexed of it."""
+        s = self.get(id)
+        return {"id": s.id, "tier": s.tier, "fields": dict(s.fields), "required": list(s.required), "index": {"fts": list(s.fts), "checksum": list(s.checksum), "embed": list(s.embed or s.fts)}, "facets": list(s.facets), "subtype": s.subtype}
+
     def all(self) -> list[Schema]:
         return list(self._held.values())
 

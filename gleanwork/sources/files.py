@@ -66,6 +66,6 @@ def dump_documents(docs: DataFrame, ids: DataFrame, path: str) -> None:
 
 
 def dump_keys(membership: DataFrame, names: list[str] | None, path: str) -> None:
-    """key and doc_ids of the named keys, or of all, as JSON lines."""
+    """key and doc_id of the named keys, or of all, as JSON lines, one for each member; files hold whole ranges of keys."""
     rows = membership.filter(F.col("key").isin(*names)) if names else membership
-    rows.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids")).write.json(path)
+    rows.select("key", "doc_id").distinct().repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").write.json(path)
