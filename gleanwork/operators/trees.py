@@ -36,22 +36,39 @@ class Layer:
     id: str
     name: str
     type: str = "context"
-    locked: bool = False
+    holders: list[str] = field(default_factory=list)  # of locks
     spec: dict | None = None  # of a view: a stored query
     extra: dict = field(default_factory=dict)
 
+    @property
+    def locked(self) -> bool:
+        return bool(self.holders)
+
 
 @dataclass
 class Node:
     name: str
     layer: Layer
     children: list[Node] = field(default_factory=list)
-    locked: bool = False
+    holders: list[str] = field(default_factory=list)
+
+    @property
+    def locked(self) -> bool:
+        return bool(self.holders)
 
     def child(self, name: str) -> Node | None:
         return next((c for c in self.children if same(c.name, name)), None)
 
 
+def _hold(holders: list[str], holder: str, on: bool) -> bool:
+    """A lock taken or given back by its holder; it is open again when nobody holds it. Whether it is held."""
+    if on and holder not in holders:
+        holders.append(holder)
+    elif not on and holder in holders:
+        holders.remove(holder)
+    return bool(holders)
+
+
 class _Tree:
     kind = ""
     prefix = ""
@@ -134,11 +151,25 @@ class _Tree:
         target.children.append(node)
         return node
 
-    def lock(self, path: str, on: bool = True) -> None:
+    def lock(self, path: str, on: bool = True, holder: str = "user") -> bool:
+        node = self.node(path)
+        if node is None:
+            raise ValueError(f"no path {path}")
+        return _hold(node.holders, holder, on)
+
+    def holders(self, path: str) -> list[str]:
+        node = self.node(path)
+        return [] if node is None else [*node.holders, *node.layer.holders]
+
+    def update_node(self, path: str, **fields) -> Layer:
+        """What a folder or layer carries besides its name."""
         node = self.node(path)
         if node is None:
             raise ValueError(f"no path {path}")
-        node.locked = on
+        if node.locked or node.layer.locked:
+            raise ValueError(f"{path} is locked")
+        node.layer.extra.update(fields)
+        return node.layer
 
     def walk(self, at: Node | None = None, path: str = ""):
         at = at or self.root
@@ -164,9 +195,9 @@ class _Tree:
 
     def to_json(self) -> str:
         def one(n: Node):
-            return {"name": n.name, "layer": n.layer.__dict__, "locked": n.locked, "children": [one(c) for c in n.children]}
+            return {"name": n.name, "layer": n.layer.__dict__, "holders": n.holders, "children": [one(c) for c in n.children]}
 
-        return json.dumps({"kind": self.kind, "id": self.id, "name": self.name, "next": self._next, "root": one(self.root)})
+        return json.dumps({"kind": self.kind, "id": self.id, "name": self.name, "next": self._next, "locked": self.locked, "root": one(self.root)})
 
     @classmethod
     def from_json(cls, text: str):
@@ -176,9 +207,9 @@ class _Tree:
 
         def one(d) -> Node:
             layer = layers.setdefault(d["layer"]["id"], Layer(**d["layer"]))
-            return Node(d["name"], layer, [one(c) for c in d["children"]], d["locked"])
+            return Node(d["name"], layer, [one(c) for c in d["children"]], d["holders"])
 
-        tree.root, tree._next = one(got["root"]), got["next"]
+        tree.root, tree._next, tree.locked = one(got["root"]), got["next"], got["locked"]
         return tree
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
@@ -197,6 +228,20 @@ class ContextTree(_Tree):
         super().__init__(id, name)
         self.layers["/"] = self.root.layer
 
+    def insert(self, path: str) -> Node:
+        """The nodes of a path; no layer may stand above itself."""
+        above: list[Layer] = []
+        for name in split(path):
+            layer = self.layers.get(name.casefold())
+            if layer is not None:
+                if any(layer is x for x in above):
+                    raise ValueError(f"layer {name} is above itself in {path}")
+                above.append(layer)
+        names = [x.casefold() for x in split(path)]
+        if len(set(names)) < len(names):
+            raise ValueError(f"a layer is above itself in {path}")
+        return super().insert(path)
+
     def _layer_for(self, name: str) -> Layer:
         return self.layers.setdefault(name.casefold(), None) or self.layers.update({name.casefold(): self._layer(name)}) or self.layers[name.casefold()]
 
@@ -261,11 +306,11 @@ class ContextTree(_Tree):
         layer.type = type
         return layer
 
-    def lock_layer(self, name: str, on: bool = True) -> None:
+    def lock_layer(self, name: str, on: bool = True, holder: str = "user") -> bool:
         layer = self.layer(name)
         if layer is None:
             raise ValueError(f"no layer {name}")
-        layer.locked = on
+        return _hold(layer.holders, holder, on)
 
     def delete_layer(self, name: str) -> str:
         """Takes a layer out of the tree; returns the key whose membership goes with it."""

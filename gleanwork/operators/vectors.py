@@ -6,6 +6,7 @@ Distances are computed in Arrow batches by one matrix product each; a document's
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CEILING, MARGIN = 0.945, 0.035
+#: Approximate search: vectors that centroids are fitted on, lists at most, and the share of the ten nearest that a query is to find.
+FIT_ROWS, MOST_LISTS, RECALL = 20_000, 4096, 0.95
 
 
 def in_space(vectors: DataFrame, space: str, model: str | None = None) -> DataFrame:
@@ -134,3 +137,69 @@ def floor_per_query(hits: DataFrame, query: str = "query_id", margin: float = MA
     """relative_floor for many queries at once, by a window over each."""
     best = F.min("distance").over(Window.partitionBy(query)) + margin
     return hits.withColumn("_cap", best if ceiling is None else F.least(best, F.lit(ceiling))).filter(F.col("distance") <= F.col("_cap")).drop("_cap")
+
+
+# -- approximate search: inverted lists around centroids
+
+
+@dataclass
+class Lists:
+    """Every chunk row with the number of its list, and the lists' centroids."""
+
+    rows: DataFrame
+    centroids: np.ndarray
+    probes: int  # lists that a query looks into
+
+    def search(self, query, limit: int, probes: int | None = None, **options) -> DataFrame:
+        """The best of the lists nearest to the query; of all of them, the result is exact."""
+        q = np.asarray(query, np.float64)
+        near = np.argsort(-(self.centroids @ (q / np.linalg.norm(q))), kind="stable")
+        return search(self.rows.filter(F.col("list").isin(near[: probes or self.probes].tolist())), query, limit=limit, **options)
+
+
+def fit_centroids(sample: np.ndarray, n: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
+    """Spherical k-means over rows of length 1."""
+    rng = np.random.default_rng(seed)
+    n = min(n, len(sample))
+    centroids = sample[rng.choice(len(sample), n, replace=False)]
+    for _ in range(rounds):
+        nearest = (sample @ centroids.T).argmax(1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(length > 0, sums / np.maximum(length, 1e-12), centroids)
+    return centroids
+
+
+def probes_for(sample: np.ndarray, centroids: np.ndarray, recall: float, k: int = 10, queries: int = 200) -> int:
+    """The fewest lists that hold a share of the k nearest of some vectors of the sample, by brute force."""
+    q = sample[:queries]
+    scores = q @ sample.T
+    scores[np.arange(len(q)), np.arange(len(q))] = -2
+    best = np.argsort(-scores, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+    at = np.sort(np.take_along_axis(place, (sample @ centroids.T).argmax(1)[best], 1).reshape(-1))
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1
+
+
+def build_lists(rows: DataFrame, path: str, n: int | None = None, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> Lists:
+    """Inverted lists, stored by list in a folder: centroids are fitted on the first fit_rows vectors by a hash, every row is put
+    into the list of its nearest one. How many lists a query looks into is measured on the same sample; where vectors have little structure, that
+    is most of them. Rows are chunks of one space and dimension; those without a usable vector are left out."""
+    v = F.col("vector").cast("array<double>")
+    usable = rows.filter(F.size("vector") > 0).filter(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) > 0)
+    held = usable.select(v.alias("v")).orderBy(F.xxhash64("doc_id", "chunk_id")).limit(fit_rows).collect()
+    if not held:
+        return Lists(rows.withColumn("list", F.lit(0)), np.zeros((1, 1)), 1)
+    sample = np.array([r[0] for r in held])
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    centroids = fit_centroids(sample, n or max(1, min(MOST_LISTS, round(len(sample) ** 0.5))))
+
+    def run(batches):
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "v"), pa.array((x @ centroids.T).argmax(1).astype(np.int32))], [*(c for c in b.schema.names if c != "v"), "list"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in usable.schema)
+    usable.withColumn("v", v).mapInArrow(run, f"{kinds}, list int").repartition("list").write.partitionBy("list").parquet(path)
+    return Lists(rows.sparkSession.read.parquet(path), centroids, probes_for(sample, centroids, recall))

@@ -336,3 +336,48 @@ def test_a_limit_of_0_cuts_no_image_hits(spark):
     all_hits = Images().rank("x", None, limit=0, mode="vector")
     assert "Limit" not in all_hits._jdf.queryExecution().analyzed().toString()
     assert [r["doc_id"] for r in all_hits.collect()] == [1, 2]
+
+
+def test_locks_have_holders_and_layers_stand_once():
+    ctx = trees.ContextTree()
+    ctx.insert("/a/b")
+    with pytest.raises(ValueError):
+        ctx.insert("/a/b/A")
+    assert ctx.lock("/a/b", holder="x") and ctx.lock("/a/b", holder="y") and ctx.holders("/a/b") == ["x", "y"]
+    assert ctx.lock("/a/b", False, "x") and not ctx.lock("/a/b", False, "y")
+    ctx.locked = True
+    ctx.lock_layer("a", holder="z")
+    again = trees.ContextTree.from_json(ctx.to_json())
+    assert again.locked and again.holders("/a") == ["z"]
+    folders = trees.DirectoryTree()
+    folders.insert("/f")
+    folders.update_node("/f", colour="red")
+    assert trees.DirectoryTree.from_json(folders.to_json()).node("/f").layer.extra == {"colour": "red"}
+
+
+def test_approximate_search_finds_nearly_all(spark, sf, tmp_path):
+    base = sf.replace("0.001", "0.1")
+    rows = spark.read.parquet(f"{base}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_id"), F.col("embedding").alias("vector"))
+    lists = vectors.build_lists(rows, str(tmp_path / "lists"))
+    assert lists.rows.count() == rows.count() and len(lists.centroids) > 10
+    assert lists.probes < len(lists.centroids)
+    hit = 0
+    for k in range(0, 200, 20):
+        q = vectors.document_vector(rows, k)
+        exact = ids(vectors.search(rows, q, limit=10))
+        hit += len(set(exact) & set(ids(lists.search(q, 10))))
+    assert hit >= 90
+    assert ids(lists.search(q, 10, probes=len(lists.centroids))) == exact
+    assert vectors.build_lists(rows.limit(0), str(tmp_path / "none")).search([1.0], 5).count() == 0
+
+
+def test_command_line(spark, tmp_path, batch):
+    from gleanwork import cli
+
+    path = f"file://{tmp_path}/ix"
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "broken-door.txt").write_text("text")
+    assert cli.main([path, "scan", str(tmp_path / "files")], spark) == ["1 files"]
+    assert cli.main([path, "count", "+data/mime/text"], spark) == ["1"] and cli.main([path, "find"], spark) == ["100001"]
+    assert "broken-door.txt" in cli.main([path, "get", "100001"], spark)[0]
+    assert cli.main([path, "search", "broken"], spark)[0].startswith("100001") and cli.main([path, "tree"], spark) == ["/"]
