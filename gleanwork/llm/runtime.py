@@ -2,45 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, but only for a driver that is its own executor: on a
-    cluster each machine would write to a disk of its own, so there the setting is required."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="gleanwork-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return _OWN[app]
-
-
-def filesystem(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends, if not before."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, where = filesystem(spark, path)
-    fs.deleteOnExit(where)
-    return path
+from ..session import filesystem, table  # noqa: F401
+from ..session import scratch as fresh_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -60,10 +28,6 @@ def discard(df: DataFrame) -> None:
     fs.cancelDeleteOnExit(where)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Columns (_id, _tx) that tell documents apart even when ids repeat; rows that agree on both are repeated rows."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.lit(7), F.col(text)).alias("_tx")]

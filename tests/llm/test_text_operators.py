@@ -140,6 +140,14 @@ def test_mix_against_brute_force(make, slice_rows):
     assert "src1" not in {r["source"] for r in mixing.mix(big, {"src0": 1, "src1": 0}, per_mille=400).collect()}
 
 
+def test_ties_and_weights_of_0(make):
+    """Entries of different sources with the same finish time stand in the order of their sources, null first; a source of weight 0 takes no part."""
+    docs = make([(k, "w w", "en", [None, "a", "b", "src0"][k % 4]) for k in range(40)])
+    got = mixing.schedule(docs, {"src0": 0}, other=1, per_mille=1000).collect()
+    assert [r["source"] for r in got] == [None, "a", "b"] * 10
+    assert [r["vft"] for r in got] == [2 * (k // 3 + 1) for k in range(30)]
+
+
 def test_repeated_rows_straddling_the_budget(make):
     docs = make([(1, "a b c d", "en", "s")] * 10)
     assert mixing.mix(docs, per_mille=500).count() == 5 == mixing.schedule(docs, per_mille=500).count()

@@ -66,3 +66,21 @@ def test_errors_are_reported_and_reading_goes_on(tmp_path):
     assert "longer than" in list(warc.read_range(archive(tmp_path / "l.warc.zst", [frame(good)]), 0, 1 << 40, max_record=10))[0]["error"]
     (tmp_path / "empty.warc.zst").write_bytes(b"")
     assert list(warc.read_range(str(tmp_path / "empty.warc.zst"), 0, 0)) == []
+
+
+def test_columns_that_clash_and_bodies_in_many_rows(spark):
+    """Columns named like those inside; one page in most rows, which the dictionary's sample takes once."""
+    rows = [(k, f"http://h/{k}", f"<p>page {k} of the site</p>" * 20, "x", b"y", "z", 1) for k in range(60)] + [(7, "http://h/7", "<p>page 7 of the site</p>" * 20, "x", b"y", "z", 1)] * 200
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, uri string, body binary, error string, id int")
+    got = warc.round_trip(pages).collect()
+    assert len(got) == 260 and all(r["error"] is None and r["html"] == f"<p>page {r['page_id']} of the site</p>" * 20 for r in got)
+    named = pages.selectExpr("page_id AS id", "url AS uri", "html AS body")
+    assert len(warc.samples(named)) == 60 and all(len(x) == 30 for x in warc.samples(named, 5, 30)) and len(warc.samples(named, 5, 30)) == 5
+
+
+def test_a_range_begins_in_the_middle_of_large_records(spark, tmp_path):
+    """Records of more than a buffer, cut into ranges far smaller than one."""
+    rows = spark.createDataFrame([(k, f"u{k}", "".join(chr(97 + (k * 7 + j * j) % 26) for j in range(300_000))) for k in range(12)], "id bigint, uri string, body string")
+    warc.write(rows.coalesce(1), f"file://{tmp_path}/a", level=1).count()
+    got = warc.read(spark, f"file://{tmp_path}/a", split_bytes=20_000).collect()
+    assert sorted(r["target_uri"] for r in got) == sorted(f"u{k}" for k in range(12)) and all(r["error"] is None for r in got)
