@@ -124,6 +124,36 @@ def value_of_ids(spark, sf):
     return timelines.values(points(o, "orders", "o_orderkey", "o_orderdate", "day"), some, "orders")
 
 
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice <> 0")
+def value_cleared(spark, sf):
+    """Values taken from some documents: they match nothing any more, not even by being different."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_totalprice")
+    return timelines.compare(timelines.clear_values(o, "o_totalprice", o.filter("o_orderstatus = 'F'")), "o_totalprice", "!=", 0).select("doc_id")
+
+
+@query("""SELECT 'add' AS op, 'tag/x' AS key, 'linked' AS reason, count(*) AS n FROM documents WHERE lang = 'en' UNION ALL SELECT 'remove', 'tag/x', 'unlinked', count(*) FROM documents WHERE lang = 'en' AND source = 'src6'
+UNION ALL SELECT 'tree', 'context/default', 'linked', count(*) FROM documents WHERE lang = 'en' UNION ALL SELECT 'tree', 'context/default', 'unlinked', count(*) FROM documents WHERE source = 'src6'""")
+def events_logged(spark, sf):
+    """What linking and unlinking leave in the change log, the tree's own keys left out."""
+    d = table(spark, sf, "documents")
+    ix = Index(spark, {"docs": d, "membership": spark.createDataFrame([], "key string, doc_id bigint")})
+    ix.link(d.filter("lang = 'en'"), {"context": "/work", "features": ["tag/x"]})
+    ix.unlink(d.filter("source = 'src6'"), {"context": "/work", "features": ["tag/x"]})
+    log = ix.tables["change_log"].filter(~F.col("key").rlike("^context/default/"))
+    return log.groupBy("op", "key", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'year' WHEN 1 THEN 'month' WHEN 2 THEN 'day' WHEN 3 THEN 'second' WHEN 4 THEN 'ms' ELSE 'Myr' END AS scale, CASE o_orderkey % 6 WHEN 0 THEN year(o_orderdate) - 1970 WHEN 1 THEN (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 WHEN 2 THEN date_diff('day', DATE '1970-01-01', o_orderdate::DATE) WHEN 3 THEN date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 86400 + 3723 WHEN 4 THEN date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 86400000 + 3723250 ELSE -66 END::BIGINT AS start_v, o_orderkey % 6 = 2 AS open_end FROM orders")
+def timeline_notations(spark, sf):
+    """Years, months, days, seconds, milliseconds and ages as they are written."""
+    o = table(spark, sf, "orders")
+    n, day = F.col("o_orderkey") % 6, F.date_format("o_orderdate", "yyyy-MM-dd")
+    start = F.when(n == 0, F.substring(day, 1, 4)).when(n == 1, F.substring(day, 1, 7)).when(n == 2, day).when(n == 3, F.concat(day, F.lit("T01:02:03Z"))).when(n == 4, F.concat(day, F.lit("T01:02:03.25Z"))).otherwise("66 MYA")
+    none = F.lit(None).cast("string")
+    e = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("pos"), F.lit("Axis").alias("name"), none.alias("scale"), start.alias("start"), none.alias("end"), (n == 2).alias("end_given"), F.lit(True).alias("is_primary"), none.alias("ref"))
+    return timelines.from_entries(e).select("doc_id", "scale", "start_v", "open_end")
+
+
 @query(f"SELECT count(*) AS n FROM documents WHERE lang = 'en' AND {_DEFAULT}")
 def total_count(spark, sf):
     return catalog.index(spark, sf).candidates({"features": ["+tag/lang/en"]}).agg(F.count("*").alias("n"))

@@ -151,6 +151,14 @@ class Index:
         """One event a document, of a tree where one is named, in the change log."""
         self._log(ingest.events(doc_ids, reason, ingest.provenance(provenance).get("origin"), self.writes, tree))
 
+    def _tree_events(self, doc_ids: DataFrame, spec: dict, reason: str, provenance: dict | None) -> None:
+        """An event a document for each tree that a spec names."""
+        for kind in ("context", "directory"):
+            given = spec.get(kind)
+            if given is not None:
+                tree = self.tree(kind, given.get("tree") if isinstance(given, dict) else None)
+                self._events(doc_ids, reason, provenance, f"{kind}/{tree.id}")
+
     # -- tables
 
     @property
@@ -581,6 +589,7 @@ class Index:
         before, doc_ids = self.tables["membership"], written(doc_ids.select("doc_id").distinct(), "link")
         self.tables["membership"] = membership.tick(before, self._write_keys(spec, False), doc_ids)
         self._changed(before, self.tables["membership"], "linked", doc_ids, provenance)
+        self._tree_events(doc_ids, spec, "linked", provenance)
         return self
 
     def unlink(self, doc_ids: DataFrame, spec: dict, provenance: dict | None = None) -> DataFrame:
@@ -595,6 +604,7 @@ class Index:
         before, doc_ids = self.tables["membership"], written(doc_ids.select("doc_id").distinct(), "unlink")
         self.tables["membership"] = membership.untick(before, gone, doc_ids)
         self._changed(before, self.tables["membership"], "unlinked", doc_ids, provenance)
+        self._tree_events(doc_ids, spec, "unlinked", provenance)
         return ingest.outcome(doc_ids, self.docs, before.filter(F.col("key").isin(*gone)) if gone else before.limit(0))
 
     def delete(self, doc_ids: DataFrame, now: Column | None = None, provenance: dict | None = None) -> DataFrame:

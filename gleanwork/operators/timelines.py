@@ -29,11 +29,35 @@ def positions(df: DataFrame, timeline: str, scale: str, start: Column, end: Colu
     return out.filter(F.col("start_v").isNotNull() & F.col("end_v").isNotNull() & (F.col("start_v") <= F.col("end_v")))
 
 
+#: Endpoints that are read in the JVM: scale and form. Anything else, and what isn't valid here, goes through `time.interval`.
+_FORMS = (
+    ("year", r"^[1-9][0-9]{3}$"), ("month", r"^[1-9][0-9]{3}-(?:0[1-9]|1[0-2])$"), ("day", r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}$"),
+    ("second", r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"), ("ms", r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{1,6}Z$"),
+)
+
+
+def _once(c: Column, use) -> Column:
+    """use(c) with c worked out once for each row, however often use refers to it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _point(text: Column) -> Column:
+    """struct<scale, value> of an endpoint in one of the common forms; null otherwise, with a null value where there is no such day or time."""
+    year = F.substring(text, 1, 4).cast("bigint") - 1970
+    micros = F.unix_micros(F.try_to_timestamp(text))
+    values = {"year": year, "month": year * 12 + F.substring(text, 6, 2).cast("bigint") - 1, "day": F.unix_date(F.try_to_date(text)), "second": F.floor(micros / 1_000_000), "ms": F.floor(micros / 1000)}
+    out = F.when(F.lit(False), F.lit(None).cast("struct<scale:string,value:bigint>"))
+    for scale, form in _FORMS:
+        out = out.when(text.rlike(form), F.struct(F.lit(scale).alias("scale"), values[scale].cast("bigint").alias("value")))
+    return out
+
+
 def from_entries(entries: DataFrame) -> DataFrame:
     """Position rows from (doc_id, pos, name, scale, start, end, end_given, is_primary, ref) as documents carry them.
 
     Endpoints are parsed by the rules of `time.interval`; entries that break them go. One entry of each document and timeline is
-    the primary one: the first marked as such, else the first."""
+    the primary one: the first marked as such, else the first. ISO dates and times, years and months without a scale of their own are
+    read in the JVM, other notations in Python by Arrow batches."""
 
     def run(batches):
         import pyarrow as pa
@@ -56,8 +80,17 @@ def from_entries(entries: DataFrame) -> DataFrame:
             names = ["timeline", "doc_id", "scale", "start_v", "end_v", "open_start", "open_end", "is_primary", "ref", "pos"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    rows = entries.filter(F.col("name").isNotNull()).select("doc_id", F.col("pos").cast("int").alias("pos"), "name", "scale", "start", "end", "end_given", "is_primary", "ref")
-    parsed = rows.mapInArrow(run, POSITION + ", pos int")
+    rows = entries.filter(F.col("name").isNotNull()).select("doc_id", F.col("pos").cast("int").alias("pos"), "name", "scale", "start", "end", F.coalesce("end_given", F.lit(False)).alias("end_given"), "is_primary", "ref")
+    # struct<scale, a, z> of what can be read here
+    span = lambda p, q: F.struct(p["scale"].alias("scale"), p["value"].alias("a"), F.when(~F.col("end_given"), p["value"]).when(F.col("end").isNull(), F.lit(t.HIGHEST)).when(q["scale"] == p["scale"], q["value"]).alias("z"))
+    read = _once(F.when(F.coalesce("scale", F.lit("")) == "", _point(F.col("start"))), lambda p: _once(_point(F.col("end")), lambda q: span(p, q)))
+    rows = rows.withColumn("_r", read)
+    plain = F.col("_r.a").isNotNull() & F.col("_r.z").isNotNull()
+    here = rows.filter(plain & (F.col("_r.a") <= F.col("_r.z"))).select(
+        F.lower("name").alias("timeline"), "doc_id", F.col("_r.scale").alias("scale"), F.col("_r.a").alias("start_v"), F.col("_r.z").alias("end_v"), F.lit(False).alias("open_start"),
+        (F.col("end_given") & F.col("end").isNull()).alias("open_end"), F.coalesce("is_primary", F.lit(False)).alias("is_primary"), "ref", "pos",
+    )
+    parsed = here.unionByName(rows.filter(~plain).drop("_r").mapInArrow(run, POSITION + ", pos int"))
     first = F.row_number().over(Window.partitionBy("doc_id", "timeline").orderBy(F.col("is_primary").desc(), "pos"))
     return parsed.withColumn("is_primary", first == 1).drop("pos")
 
@@ -160,6 +193,12 @@ def values(pos: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return pos.filter(on(name)).join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "scale", "start_v", "end_v")
 
 
+def clear_values(rows: DataFrame, column: str, doc_ids: DataFrame) -> DataFrame:
+    """rows whose value in a column is taken from some documents; without one they match no comparison."""
+    gone = doc_ids.select("doc_id").distinct().withColumn("_gone", F.lit(True))
+    return rows.join(gone, "doc_id", "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*rows.columns)
+
+
 def remove(pos: DataFrame, doc_ids: DataFrame, name: str | None = None) -> DataFrame:
     """Positions without those of some documents, on one timeline or on all."""
     gone = doc_ids.select("doc_id")
