@@ -407,6 +407,26 @@ def email_features(spark, sf):
     return c.select("conv_id", "turn", F.array_sort(f).alias("features"))
 
 
+@query("""WITH d AS (SELECT conv_id * 1000 + turn AS doc_id, role, turn FROM conversations)
+SELECT CASE WHEN role = 'user' THEN 'feature/email/sent' ELSE 'feature/email/received' END AS key, doc_id FROM d UNION ALL SELECT 'feature/email/attachment', doc_id FROM d WHERE turn % 2 = 0
+UNION ALL SELECT 'feature/email/flagged', doc_id FROM d WHERE turn % 3 = 0 UNION ALL SELECT unnest(['data/schema/message', 'data/schema/message/email']), doc_id FROM d""")
+def schema_features(spark, sf):
+    """Keys that a schema adds by a rule of its own: e-mails sent, received, with attachments, flagged."""
+    c = table(spark, sf, "conversations")
+    some = lambda n, v: F.when(F.col("turn") % n == 0, F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    data = F.to_json(F.struct(F.struct(F.when(F.col("role") == "user", "INBOX/Sent Items").otherwise("INBOX").alias("path")).alias("folder"), some(2, "a.pdf").alias("attachments"), F.struct(some(3, "\\Flagged").alias("flags")).alias("platformMetadata")))
+    return derive.membership(_docs(spark, c, doc_id=F.col("conv_id") * 1000 + F.col("turn"), schema=F.lit("data/schema/message/email"), data=data))
+
+
+@query("""SELECT 'device/id/dev' || c_custkey % 7 AS key, c_custkey AS doc_id FROM customer UNION ALL SELECT unnest(['data/schema/application', 'data/backend/https', 'data/backend/https/store']), c_custkey FROM customer""")
+def schema_locations(spark, sf):
+    """Locations that a schema derives: the devices an application is installed on, and where it is from."""
+    c = table(spark, sf, "customer")
+    dev = F.concat(F.lit("dev"), (F.col("c_custkey") % 7).cast("string"))
+    data = F.concat(F.lit('{"appId":"a","sourceUrl":"https://store/app","installs":{"'), dev, F.lit('":{"status":"installed","path":"/opt/app"},"gone":{"status":"missing"}}}'))
+    return derive.membership(_docs(spark, c, doc_id=F.col("c_custkey"), schema=F.lit("data/schema/application"), data=data))
+
+
 @query("SELECT conv_id, turn, text, role AS sender, strftime(make_timestamp(1700000000000000 + (conv_id * 1000 + turn) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS at, 'slack' AS platform FROM conversations")
 def connector_chat(spark, sf):
     """Chat payloads as messages."""

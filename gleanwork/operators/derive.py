@@ -49,15 +49,44 @@ def _by_schema(registry: Registry, value, default: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
+#: What schemas add besides their declared fields: feature keys (array<string>) and location urls (array<string>), as functions of the row.
+FEATURES: dict = {
+    "data/schema/message/email": lambda: email_features(
+        nested("data.folder.path"), F.coalesce(F.from_json(nested("data.attachments"), "array<string>"), _empty()), nested("data.isFlagged").cast("boolean"), F.from_json(nested("data.platformMetadata.flags"), "array<string>")
+    )
+}
+LOCATIONS: dict = {
+    "data/schema/application": lambda: install_locations(F.from_json(nested("data.installs"), "map<string,struct<status:string,path:string>>"), nested("data.sourceUrl")),
+    "data/schema/dotfile": lambda: dotfile_locations(F.from_json(nested("data.links"), "map<string,string>")),
+}
+
+
+def _hooked(hooks: dict, default: Column) -> Column:
+    """A hook of the row's schema or of the nearest one above it."""
+    out = F.when(F.lit(False), default)
+    for id in sorted(hooks, key=len, reverse=True):
+        out = out.when((F.col("schema") == id) | F.col("schema").startswith(id + "/"), hooks[id]())
+    return F.coalesce(out, default)
+
+
+def all_locations() -> Column:
+    """A row's locations and those its schema derives."""
+    kind = "array<struct<url:string,metadata:map<string,string>>>"
+    urls_ = F.filter(_hooked(LOCATIONS, _empty()), lambda u: u.isNotNull())
+    more = F.transform(urls_, lambda u: F.struct(u.alias("url"), F.lit(None).cast("map<string,string>").alias("metadata")))
+    return F.concat(F.coalesce("locations", F.array().cast(kind)), more)
+
+
 def membership(docs: DataFrame, devices: DataFrame | None = None, registry: Registry = REGISTRY) -> DataFrame:
     """membership(key, doc_id): asserted features and every key that a row implies. devices (device, os, type) adds their facets."""
     subtype = _by_schema(registry, lambda s: nested(s.subtype) if s.subtype else None, F.lit(None).cast("string"))
     facets = _by_schema(registry, lambda s: F.array_compact(F.array(*(k for f in s.facets if (k := keys.facet_key(f, nested(f))) is not None))) if s.facets else None, _empty())
     given = F.transform(keys.asserted(F.col("features")), keys.normalized)
     comment = F.when(F.length(F.trim("comment")) > 0, F.array(F.lit(keys.COMMENT))).otherwise(_empty())
-    own = [given, keys.schema_keys(F.col("schema"), subtype), facets, keys.mime_keys(F.col("metadata.contentType")), urls.backend_keys(F.col("locations")), comment]
+    own = [given, keys.schema_keys(F.col("schema"), subtype), facets, keys.mime_keys(F.col("metadata.contentType")), urls.backend_keys(F.col("_at")), comment, F.transform(_hooked(FEATURES, _empty()), keys.normalized)]
+    docs = docs.withColumn("_at", all_locations())
     rows = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*(F.coalesce(c, _empty()) for c in own)))).alias("key")).select("key", "doc_id")
-    on = docs.select("doc_id", F.explode(urls.device_ids(F.col("locations"))).alias("device"))
+    on = docs.select("doc_id", F.explode(urls.device_ids(F.col("_at"))).alias("device"))
     at = on.select(keys.normalized(F.concat(F.lit("device/id/"), "device")).alias("key"), "doc_id")
     out = [rows, at]
     if devices is not None:
