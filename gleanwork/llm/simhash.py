@@ -11,7 +11,7 @@ start behind the group at which the running sum of excesses is highest. So each
 value, in which every one meets those whose values differ in no more bits than tolerated; of these pairs the 64 bits of the four groups
 are compared, and all 192 where they are near enough. Exactly the pairs within the distance are found. Of more fingerprints more bits of the
 values are looked up, so the share of all pairs that is compared falls, to 5 % (were the values evenly spread) where all 16 are; blocks of
-a million look up 15 or 16. From there on comparisons grow with the square of the number of different fingerprints.
+half a million look up 14 to 16. From there on comparisons grow with the square of the number of different fingerprints.
 
 A pair that is near in several groups counts in the lowest one only, so the number of links of each document is exact. Documents of
 equal fingerprint are one node of the index, which carries their number, so thousands of copies don't make millions of pairs; nothing
@@ -41,7 +41,7 @@ from .text import mix, word_hashes
 #: Production parameter.
 DISTANCE = 38
 #: Rows of the index that a task is given about, as long as their keys are no larger; and the most of one key in a block.
-TASK_ROWS, BLOCK_ROWS = 400_000, 1_000_000
+TASK_ROWS, BLOCK_ROWS = 400_000, 500_000
 _GROUPS, _BITS, _RUN = 12, 16, 4
 #: Pairs held before they are reduced to spanning links, or looked at over all bits; pairs compared at once.
 _HELD, _MET, _AT_ONCE = 1 << 20, 1 << 17, 1 << 15
@@ -104,7 +104,7 @@ def keys_of(f: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lowest row of each row's component."""
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -185,8 +185,8 @@ def _links(key: int, f: np.ndarray, weight: np.ndarray, side: np.ndarray | None,
     there, as the list's group is the lowest near one. side: with two blocks, pairs within one count elsewhere."""
     shared = shared_in_group(distance)
     tolerance, limit = int(_BITS - shared[key]), int(_run_limits(shared)[key])
-    root, links, left, right, held = np.arange(len(f)), np.zeros(len(f), np.int64), [], [], 0
-    rows = [np.arange(len(f))] if side is None else [np.flatnonzero(side), np.flatnonzero(~side)]
+    root, links, left, right, held = np.arange(len(f), dtype=np.int32), np.zeros(len(f), np.int64), [], [], 0
+    rows = [x.astype(np.int32) for x in ([np.arange(len(f))] if side is None else [np.flatnonzero(side), np.flatnonzero(~side)])]
     bits = _key_bits(len(rows[0]), len(rows[-1]), tolerance)
     sorted_, values, runs = [], [], []
     for r in rows:
@@ -198,7 +198,7 @@ def _links(key: int, f: np.ndarray, weight: np.ndarray, side: np.ndarray | None,
         runs.append(np.ascontiguousarray(groups_[order]).view(np.uint64)[:, 0])
 
     def reduced() -> np.ndarray:
-        moved = np.flatnonzero(root != np.arange(len(f)))
+        moved = np.flatnonzero(root != np.arange(len(f), dtype=np.int32)).astype(np.int32)
         return _spanning(len(f), np.concatenate([moved, *left]), np.concatenate([root[moved], *right]))
 
     def looked_at(met: list) -> int:
