@@ -311,13 +311,13 @@ class Index:
 
     def store_postings(self, folder: str) -> Index:
         """The text index written to a folder and read from there."""
-        self.build_postings()
-        fts.sorted_postings(self.tables["postings"]).write.parquet(f"{folder}/postings")
-        self.tables["lengths"].write.parquet(f"{folder}/lengths")
+        fts.sorted_blocks(fts.blocks(self.tables["fts"])).write.parquet(folder)
         return self.use_postings(folder)
 
     def use_postings(self, folder: str) -> Index:
-        self.tables["postings"], self.tables["lengths"] = (self.spark.read.parquet(f"{folder}/{n}") for n in ("postings", "lengths"))
+        """A text index that store_postings wrote."""
+        rows = self.spark.read.parquet(folder)
+        self.tables["postings"], self.tables["lengths"] = fts.unpacked(rows), fts.stored_lengths(rows)
         self.tables.pop("fts_stats", None)
         return self
 
