@@ -4,7 +4,8 @@ Up to CAP occurrences are expanded exactly; a rule that goes on keeps the rest a
 Rules outside the subset give one envelope from the start to UNTIL, or open. Dates that a month or year lacks are skipped. A series ends where the
 calendar does, with the year 9999: an occurrence that would reach beyond it is none.
 
-Events without a rule, and those that repeat every so many days or weeks, are expanded in the JVM; the rest go through Python in Arrow batches.
+Events without a rule, and those that repeat every so many days or weeks or on days of the week, are expanded in the JVM; the rest go through
+Python in Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .time import month_length
@@ -153,29 +154,66 @@ def occurrences(rule: str | None, start: str | None, end: str | None = None, has
     return [(start, until(rule), True)] if got is None else got
 
 
-_SIMPLE = r"^FREQ=(DAILY|WEEKLY)(?:;INTERVAL=([1-9][0-9]{0,2}))?(?:;COUNT=([1-9][0-9]{0,2}))?$"
+_PART = r"(?:^|;){}=([^;]*)"
+#: Rules read in the JVM: each part once, COUNT or UNTIL but not both.
+_NAMED = r"(?:FREQ=(?:DAILY|WEEKLY)|INTERVAL=[1-9][0-9]{0,2}|COUNT=[1-9][0-9]{0,2}|UNTIL=[1-8][0-9]{7}(?:T[0-9]{6})?Z?|BYDAY=(?:MO|TU|WE|TH|FR|SA|SU)(?:,(?:MO|TU|WE|TH|FR|SA|SU))*)"
+_SIMPLE = rf"^(?!.*(?:^|;)([A-Z]+)=.*;\1=)(?!.*COUNT.*UNTIL)(?!.*UNTIL.*COUNT){_NAMED}(?:;{_NAMED})*$"
 _ISO = r"^[1-8][0-9]{3}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?Z$"
+_DAY = 86_400_000_000
 
 
-def expand_events(events: DataFrame) -> DataFrame:
-    """doc_id, pos, start, end and end_given from events (doc_id, start, end, end_given, recurrence)."""
+def _text_of(micros: Column) -> Column:
+    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _at(k: Column) -> Column:
+    """The k-th occurrence: the start, then each of the offsets in turn, in period after period."""
+    n = F.size("_offsets")
+    days = F.floor((k - 1) / n) * F.col("_period") + F.get("_offsets", F.pmod(k - 1, n))
+    return F.col("_a") + F.when(k > 0, days).otherwise(0) * F.lit(_DAY)
+
+
+def _series(events: DataFrame) -> DataFrame:
+    """Events with _kind (0 nothing, 1 one entry as it is, 2 a series by the columns below, 3 left to Python), and of a series _a (microseconds), _length,
+    _period and _offsets (days), _last (text of UNTIL) and _n, how many entries it has, the tail among them."""
     spark = events.sparkSession
+    rule = F.col("recurrence")
     rows = events.select("doc_id", "start", "end", F.coalesce("end_given", F.lit(False)).alias("end_given"), "recurrence")
-    none = F.coalesce("recurrence", F.lit("")) == ""
-    part = lambda n: F.nullif(F.regexp_extract("recurrence", _SIMPLE, n), F.lit("")).cast("int")
-    step = F.when(F.regexp_extract("recurrence", _SIMPLE, 1) == "WEEKLY", 7).otherwise(1) * F.coalesce(part(2), F.lit(1))
-    count = F.coalesce(part(3), F.lit(CAP + 1))  # without a count, the one behind the cap is the tail
+    part = lambda name: F.nullif(F.regexp_extract("recurrence", _PART.format(name), 1), F.lit(""))
     begin, stop = (F.unix_micros(F.try_to_timestamp(c)) for c in ("start", "end"))
-    timed = F.col("start").rlike(_ISO) & begin.isNotNull() & ((~F.col("end_given") & F.coalesce("end", F.lit("")).eqNullSafe("")) | (F.col("end").rlike(_ISO) & stop.isNotNull()))
+    rows = rows.withColumns({"_a": begin, "_length": stop - begin, "_freq": part("FREQ"), "_step": F.coalesce(part("INTERVAL").cast("int"), F.lit(1)), "_count": part("COUNT").cast("int"), "_by": F.split(part("BYDAY"), ","), "_until": part("UNTIL")})
+    piece = lambda at, n, default: F.coalesce(F.nullif(F.substring("_until", at, n), F.lit("")), F.lit(default))
+    timed = F.length("_until") >= 15
+    clock = F.when(timed, F.concat_ws(":", *(F.substring("_until", k, 2) for k in (10, 12, 14)))).otherwise("23:59:59")
+    rows = rows.withColumn("_last", F.when(F.col("_until").isNotNull(), F.concat(piece(1, 4, ""), F.lit("-"), piece(5, 2, ""), F.lit("-"), piece(7, 2, ""), F.lit("T"), clock, F.lit(".000Z"))))
+    last = F.unix_micros(F.try_to_timestamp("_last"))
+    weekday = F.weekday(F.timestamp_micros("_a"))  # Monday is 0
+    number = F.create_map(*(F.lit(x) for kv in _DAYS.items() for x in kv))
+    # days of the week other than the start's alone
+    many = F.col("_by").isNotNull() & ((F.size("_by") > 1) | (number[F.get("_by", F.lit(0))] != weekday))
+    apart = F.col("_step") * F.when(F.col("_freq") == "WEEKLY", 7).otherwise(1)
+    offsets = F.when(many, F.array_sort(F.array_distinct(F.transform("_by", lambda d: F.pmod(number[d] - weekday - 1, F.lit(7)) + 1)))).otherwise(F.array(apart))
+    rows = rows.withColumns({"_offsets": offsets, "_period": F.when(many, 7).otherwise(apart).cast("bigint"), "_end": last})
+    before = F.aggregate("_offsets", F.lit(1).cast("bigint"), lambda n, d: n + F.greatest(F.floor((F.col("_end") - F.col("_a") - d * F.lit(_DAY)) / (F.col("_period") * F.lit(_DAY))) + 1, F.lit(0)))
+    size = F.when(F.col("_count").isNotNull(), F.col("_count")).when(F.col("_end").isNull(), CAP + 1).when(F.col("_end") < F.col("_a"), 0).otherwise(before)
+    rows = rows.withColumn("_n", F.least(size, F.lit(CAP + 1)).cast("int"))
+    whole = F.col("start").rlike(_ISO) & F.col("_a").isNotNull() & ((~F.col("end_given") & F.coalesce("end", F.lit("")).eqNullSafe("")) | (F.col("end").rlike(_ISO) & F.col("_length").isNotNull()))
+    asked = F.col("_freq").isNotNull() & (F.col("_by").isNull() | ((F.col("_freq") == "WEEKLY") & ((F.col("_step") == 1) | ~many))) & (F.coalesce("_count", F.lit(1)) <= CAP) & (F.col("_until").isNull() | F.col("_end").isNotNull())
+    short = (F.col("_n") * F.col("_period") <= 360_000) & F.coalesce(F.col("_length") < 3650 * F.lit(_DAY), F.lit(True))
     # formats follow the session's zone, and texts here are UTC
-    simple = F.coalesce(F.col("recurrence").rlike(_SIMPLE) & (F.coalesce(part(3), F.lit(1)) <= CAP) & (count * step <= 360_000) & timed & F.coalesce(stop - begin < 3650 * 86_400_000_000, F.lit(True)), F.lit(False)) & F.lit(spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"))
-    kind = rows.withColumn("_kind", F.when(F.coalesce("start", F.lit("")) == "", 0).when(none, 1).when(simple, 2).otherwise(3))
-    plain = kind.filter("_kind = 1").select("doc_id", F.lit(0).alias("pos"), "start", "end", "end_given")
-    text = lambda micros: F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    some = kind.filter("_kind = 2").select("doc_id", begin.alias("_a"), (stop - begin).alias("_length"), step.cast("bigint").alias("_step"), F.posexplode(F.sequence(F.lit(0), count - 1)).alias("pos", "_k"))
-    at = F.col("_a") + F.col("_k") * F.col("_step") * F.lit(86_400_000_000)
-    tail = F.col("_k") == CAP
-    some = some.select("doc_id", "pos", text(at).alias("start"), F.when(~tail, text(at + F.col("_length"))).alias("end"), (tail | F.col("_length").isNotNull()).alias("end_given"))
+    simple = F.coalesce(rule.rlike(_SIMPLE) & whole & asked & short, F.lit(False)) & F.lit(spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"))
+    kind = F.when(F.coalesce("start", F.lit("")) == "", 0).when(F.coalesce("recurrence", F.lit("")) == "", 1).when(simple, 2).otherwise(3)
+    rows = rows.withColumn("_kind", kind)
+    # a series that ends before it begins is its envelope
+    none = (F.col("_kind") == 2) & (F.col("_n") == 0)
+    each = {"end": F.when(none, F.col("_last")).otherwise(F.col("end")), "end_given": F.col("end_given") | none, "_kind": F.when(none, 1).otherwise(F.col("_kind"))}
+    kept = ("end", "end_given", "_kind", "_a", "_length", "_offsets", "_period", "_last", "_n")
+    # what is filtered by follows from all of the above: behind an explode it is worked out once a row, where a plain filter would repeat it
+    return rows.select("doc_id", "start", "recurrence", F.explode(F.array(F.struct(*(each.get(c, F.col(c)).alias(c) for c in kept)))).alias("_s")).select("doc_id", "start", "recurrence", "_s.*")
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, start, end and end_given of what is left to Python."""
 
     def run(batches):
         for b in batches:
@@ -184,5 +222,29 @@ def expand_events(events: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "pos", "start", "end", "end_given"])
 
-    rest = kind.filter("_kind = 3").drop("_kind").mapInArrow(run, "doc_id bigint, pos int, start string, end string, end_given boolean")
-    return plain.unionByName(some).unionByName(rest)
+    rest = rows.filter("_kind = 3").select("doc_id", "start", "end", "end_given", "recurrence")
+    return rest.mapInArrow(run, "doc_id bigint, pos int, start string, end string, end_given boolean")
+
+
+def expand_events(events: DataFrame) -> DataFrame:
+    """doc_id, pos, start, end and end_given from events (doc_id, start, end, end_given, recurrence)."""
+    rows = _series(events)
+    series = F.col("_kind") == 2
+    some = rows.filter("_kind in (1, 2)").select("*", F.explode(F.sequence(F.lit(0), F.when(series, F.col("_n") - 1).otherwise(0))).alias("pos"))
+    some = some.withColumn("_at", _at(F.col("pos")))
+    tail = F.col("pos") == CAP
+    stop = F.when(tail, F.col("_last")).otherwise(_text_of(F.col("_at") + F.col("_length")))
+    pick = lambda a, b: F.when(series, a).otherwise(F.col(b)).alias(b)
+    some = some.select("doc_id", "pos", pick(_text_of(F.col("_at")), "start"), pick(stop, "end"), pick(tail | F.col("_length").isNotNull(), "end_given"))
+    return some.unionByName(_rest(rows))
+
+
+def extents(events: DataFrame) -> DataFrame:
+    """doc_id, n, first and tail of each event that has entries: how many they are, the first start, and where the one behind the cap begins. Entries of a
+    series in the JVM follow from its rule, so none is written out to be counted."""
+    rows = _series(events)
+    series = F.col("_kind") == 2
+    some = rows.filter("_kind in (1, 2)").select("doc_id", F.when(series, F.col("_n")).otherwise(1).alias("n"), F.when(series, _text_of(F.col("_a"))).otherwise(F.col("start")).alias("first"), F.when(series & (F.col("_n") > CAP), _text_of(_at(F.lit(CAP)))).alias("tail"))
+    at = lambda k: F.max(F.when(F.col("pos") == k, F.col("start")))
+    rest = _rest(rows).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), at(0).alias("first"), at(CAP).alias("tail"))
+    return some.unionByName(rest)
