@@ -125,19 +125,29 @@ def checksums(docs: DataFrame) -> DataFrame:
     return rows.groupBy("checksum", "schema").agg(F.max("doc_id").alias("doc_id"))
 
 
-def fts_text(docs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
-    """doc_id, schema, updated_at and fts_text of documents that have any text."""
-    text = lambda fields: F.concat_ws("\n", *(F.when(~F.trim(c).isin("", "{}", "[]"), F.trim(c)) for c in (nested(f).cast("string") for f in (*fields, "comment", "metadata.summary"))))
+#: Unicode's space separators, which a field's text begins and ends without.
+_SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def _trimmed(path: str) -> Column:
+    return F.trim(nested(path).cast("string"), F.lit(_SPACES))
+
+
+def fts_text(docs: DataFrame, registry: Registry = REGISTRY, blank: bool = False) -> DataFrame:
+    """doc_id, schema, updated_at and fts_text of documents that have any text. Blank fields are left out, or with blank are empty lines."""
+    given = lambda c: c if blank else F.when(~c.isin("", "{}", "[]"), c)
+    text = lambda fields: F.concat_ws("\n", *(given(_trimmed(f)) for f in (*fields, "comment", "metadata.summary")))
     rows = docs.select("doc_id", "schema", "updated_at", _by_schema(registry, lambda s: text(s.fts) if s.fts else None, text(())).alias("fts_text"))
     return rows.filter(F.col("fts_text") != "")
 
 
-def embedding_text(docs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
-    """doc_id, schema, field and text: the fields of each document that an embedder is given, one row each, empty ones left out."""
-    one = lambda f: F.struct(F.lit(f).alias("field"), F.trim(nested(f).cast("string")).alias("text"))
+def embedding_text(docs: DataFrame, registry: Registry = REGISTRY, blank: bool = False) -> DataFrame:
+    """doc_id, schema, field and text: the fields of each document that an embedder is given, one row each; blank ones are left out, or with blank are empty."""
+    one = lambda f: F.struct(F.lit(f).alias("field"), _trimmed(f).alias("text"))
     none = F.array().cast("array<struct<field:string,text:string>>")
     fields = _by_schema(registry, lambda s: F.array(*map(one, s.embed or s.fts)) if s.embed or s.fts else None, none)
-    return docs.select("doc_id", "schema", F.explode(fields).alias("e")).select("doc_id", "schema", "e.field", "e.text").filter(~F.col("text").isin("", "{}", "[]"))
+    rows = docs.select("doc_id", "schema", F.explode(fields).alias("e")).select("doc_id", "schema", "e.field", "e.text")
+    return rows.filter(F.col("text").isNotNull() if blank else ~F.col("text").isin("", "{}", "[]"))
 
 
 def timeline_entries(docs: DataFrame) -> DataFrame:
