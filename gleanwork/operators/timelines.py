@@ -138,6 +138,24 @@ def query(pos: DataFrame, names, start, end=t.ABSENT, mode: str = "union", scale
     return hits.select(*columns[mode]).distinct()
 
 
+def _meeting(rows: DataFrame, bounds: list[tuple[int, str, int | None, int | None]]) -> DataFrame:
+    """rows with the number of each range (number, scale, low, high) that they meet, once for each."""
+    grid = rows.sparkSession.createDataFrame(bounds, "bucket int, scale string, low bigint, high bigint")
+    return rows.join(grid, "scale").filter((F.col("high").isNull() | (F.col("start_v") <= F.col("high"))) & (F.col("low").isNull() | (F.col("end_v") >= F.col("low"))))
+
+
+def query_each(pos: DataFrame, names, ranges: list) -> DataFrame:
+    """bucket (a range's number) and doc_id of the documents that meet each of several ranges, each range as `query` has it. One pass and one aggregate for
+    all: a union of as many queries holds an aggregate for each in every task."""
+    limits = [t.query_bounds(*(r if isinstance(r, (tuple, list)) else (r, t.ABSENT))) for r in ranges]
+    bounds = [(k, s, low, high) for k, by in enumerate(limits) for s, (low, high) in by.items()]
+    hull: dict[str, tuple[int | None, int | None]] = {}
+    for s in {s for by in limits for s in by}:
+        lows, highs = zip(*(by[s] for by in limits if s in by), strict=True)
+        hull[s] = (None if None in lows else min(lows), None if None in highs else max(highs))
+    return _meeting(pos.filter(on(names) & overlaps(hull)), bounds).select("bucket", "doc_id").distinct()
+
+
 def histogram(pos: DataFrame, names, buckets: list[tuple], within: DataFrame | None = None) -> DataFrame:
     """bucket (its number), timeline and n: documents that meet each bucket, each once a timeline; counts of 0 aren't listed.
 
@@ -155,10 +173,8 @@ def histogram(pos: DataFrame, names, buckets: list[tuple], within: DataFrame | N
             continue
     if not bounds:
         return spark.createDataFrame([], "bucket int, timeline string, n bigint")
-    grid = spark.createDataFrame(bounds, "bucket int, scale string, low bigint, high bigint")
-    met = rows.join(grid, "scale").filter((F.col("high").isNull() | (F.col("start_v") <= F.col("high"))) & (F.col("low").isNull() | (F.col("end_v") >= F.col("low"))))
     # each document once a bucket and timeline, then a plain count: both combine before they shuffle
-    return met.select("bucket", "timeline", "doc_id").distinct().groupBy("bucket", "timeline").agg(F.count("*").alias("n"))
+    return _meeting(rows, bounds).select("bucket", "timeline", "doc_id").distinct().groupBy("bucket", "timeline").agg(F.count("*").alias("n"))
 
 
 def histogram_totals(counts: DataFrame) -> DataFrame:
